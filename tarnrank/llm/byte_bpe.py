@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 
 from .common import map_texts
 
-#: Pieces kept encoded in each worker, and the longest piece kept: a bound on memory, not on input.
-CACHED_PIECES, CACHED_LENGTH = 400_000, 64
+#: Pieces kept encoded in each of a worker's two generations, and the longest piece kept: a bound on
+#: memory, not on input.
+CACHED_PIECES, CACHED_LENGTH = 500_000, 64
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -31,14 +32,53 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
 
 
 class PrefixBPE:
-    """Encodes pieces by ranks; ``tokens[id]`` are a token's bytes."""
+    """Encodes pieces by ranks; ``tokens[id]`` are a token's bytes.
+
+    A trie of the tokens with failure links gives, byte by byte, the tokens that end there.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
-        self.suffixes = {t[k:] for t in ranks for k in range(len(t))}
+        self.size = {i: len(t) for t, i in ranks.items()}
         self.longest = max(map(len, ranks))
-        self._apart: dict[tuple[int, int], bool] = {}
+        self._apart: dict[int, bool] = {}
+        self._goto: dict[int, int] = {}
+        self._step: dict[int, int] = {}
+        own, self._fail = [-1], [0]
+        for token, i in ranks.items():
+            state = 0
+            for byte in token:
+                key = state << 8 | byte
+                if key not in self._goto:
+                    self._goto[key] = len(own)
+                    own.append(-1)
+                    self._fail.append(0)
+                state = self._goto[key]
+            own[state] = i
+        below: dict[int, list[tuple[int, int]]] = {}
+        for key, state in self._goto.items():
+            below.setdefault(key >> 8, []).append((key & 255, state))
+        self._ends: list[tuple[int, ...]] = [()] * len(own)
+        level = [0]
+        while level:
+            level = [(parent, byte, state) for parent in level for byte, state in below.get(parent, ())]
+            for parent, byte, state in level:
+                self._fail[state] = self._next(self._fail[parent], byte) if parent else 0
+                self._ends[state] = ((own[state],) if own[state] >= 0 else ()) + self._ends[self._fail[state]]
+            level = [state for _, _, state in level]
+
+    def _next(self, state: int, byte: int) -> int:
+        """The state after a byte, followed along failure links and kept."""
+        key, at = state << 8 | byte, state
+        found = self._step.get(key)
+        if found is None:
+            while (found := self._goto.get(at << 8 | byte)) is None and at:
+                at = self._fail[at]
+            if len(self._step) > 2_000_000:
+                self._step.clear()
+            self._step[key] = found = found or 0
+        return found
 
     def _merged(self, data: bytes) -> list[int]:
         """Merging as defined: the adjacent pair of lowest rank first, leftmost among equals."""
@@ -52,7 +92,7 @@ class PrefixBPE:
 
     def apart(self, before: int, token: int) -> bool:
         """Whether ``token`` may follow ``before`` (-1: nothing) in an encoding."""
-        key = (before, token)
+        key = before << 32 | token
         known = self._apart.get(key)
         if known is None:
             own = [token] if before < 0 else [before, token]
@@ -64,16 +104,19 @@ class PrefixBPE:
 
     def extend(self, data: bytes | bytearray, last: list[int], upto: int | None = None) -> None:
         """Fills ``last`` (``last[i]``: the token that ends the prefix of i + 1 bytes) to ``upto``."""
-        tokens, ranks, suffixes = self.tokens, self.ranks, self.suffixes
-        for end in range(len(last) + 1, (len(data) if upto is None else upto) + 1):
-            fits, size = [], 1
-            while size <= end and (part := bytes(data[end - size : end])) in suffixes:
-                if part in ranks:
-                    fits.append(ranks[part])
-                size += 1
-            for token in reversed(fits):
-                start = end - len(tokens[token])
-                if self.apart(last[start - 1] if start else -1, token):
+        step, ends, sizes, known = self._step, self._ends, self.size, self._apart
+        state, end = 0, len(last)
+        for byte in data[max(0, end - self.longest) : end]:
+            state = self._next(state, byte)
+        for byte in data[end : len(data) if upto is None else upto]:
+            end += 1
+            key = state << 8 | byte
+            state = step[key] if key in step else self._next(state, byte)
+            for token in ends[state]:
+                start = end - sizes[token]
+                before = last[start - 1] if start else -1
+                pair = before << 32 | token
+                if known[pair] if pair in known else self.apart(before, token):
                     last.append(token)
                     break
             else:
@@ -137,13 +180,15 @@ class _Pieces(dict):
     """Piece to its ids packed as little-endian 32-bit integers, filled on first use."""
 
     def __init__(self, bpe: PrefixBPE):
-        self.bpe = bpe
+        self.bpe, self.older = bpe, {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = array.array("I", self.bpe.encode_piece(piece.encode()))
-        packed = ids.tobytes()
+        packed = self.older.get(piece)
+        if packed is None:
+            packed = array.array("I", self.bpe.encode_piece(piece.encode("utf-8", "surrogatepass"))).tobytes()
         if len(piece) <= CACHED_LENGTH:
             if len(self) >= CACHED_PIECES:
+                self.older = dict(self)
                 self.clear()
             self[piece] = packed
         return packed
