@@ -27,6 +27,12 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.encode(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import secret_scan as op
+
+    return op.digest(op.findings(documents(spark, sf_dir).select("doc_id", "text")))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import simhash as op
 
