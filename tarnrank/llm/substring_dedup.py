@@ -2,14 +2,17 @@
 
 Words become 64-bit hashes; rolling polynomial hashes of every window of ``WINDOW`` words are
 counted by document in Spark, and windows first seen in a smaller id merge into maximal intervals
-that are removed. To keep windows that cannot repeat out of the shuffle, every window is filed under
-the least hash of the ``GRAM``-word runs inside it (equal windows have equal leasts): only windows
-whose least occurs in two documents are hashed and counted, about one row for twenty windows
-before that. 96 bits of hash make a false match of n windows as likely as n * n / 2 ** 97.
+that are removed. Neighbouring windows are counted together where that says as much: every window is
+filed under the least hash of the ``GRAM``-word runs inside it (equal windows have equal leasts), and
+neighbours with the same least form a stretch, about one for twenty windows. Stretches with the same
+words are settled at once: all but those of the smallest id go. Windows are hashed and counted singly
+only in the stretches left whose least occurs in stretches with different words, as at a passage's
+ends. Keys have 96 bits of hash or more, so n of them make a false match as likely as n * n / 2 ** 97.
 
 Rows: null text has no words; texts shorter than a window lose nothing; rows with null id are
 returned whole and remove nothing elsewhere. Repeated rows of one id are one document with several
-texts: neither removes words of the other, and equal rows are returned each time.
+texts: neither removes words of the other, each loses what the other's windows lose at the same
+places, and equal rows are returned each time.
 """
 
 from __future__ import annotations
@@ -74,11 +77,31 @@ def _least(values: np.ndarray, span: int) -> np.ndarray:
     return np.minimum(block[:n], block[span - width : span - width + n])
 
 
+class _Stretches:
+    """Polynomial hashes of stretches of any length; powers of the base are kept."""
+
+    def __init__(self):
+        self.up, self.down = np.ones(1, np.uint64), np.ones(1, np.uint64)
+
+    def __call__(self, hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        if len(self.up) <= len(hashes):
+            size = 2 * len(hashes) + 1
+            steps = [np.full(size, b, np.uint64) for b in (_B2, pow(_B2, -1, 1 << 64))]
+            for x in steps:
+                x[0] = 1
+            self.up, self.down = map(np.cumprod, steps)
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * self.up[: len(hashes)])))
+        out = (sums[end] - sums[start]) * self.down[start] + (end - start).astype(np.uint64)
+        out ^= out >> np.uint64(29)
+        out *= np.uint64(0xBF58476D1CE4E5B9)
+        return out ^ out >> np.uint64(32)
+
+
 def _files(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """doc, g, lo, hi: the windows lo to hi (starts) of a document have the least gram hash g."""
+    """doc, g, r, lo, hi: the windows lo to hi (starts) have the least gram hash g, their words hash to r."""
 
     def factory():
-        known = _Words()
+        known, stretch = _Words(), _Stretches()
 
         def step(cols):
             parts = []
@@ -89,14 +112,15 @@ def _files(docs: DataFrame, window: int, gram: int) -> DataFrame:
                 hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
                 least = _least(rolling(hashes, gram, _B1), window - gram + 1)
                 lo = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
-                parts.append((key, least[lo].view(np.int64), lo, np.concatenate((lo[1:], [len(least)])) - 1))
+                hi = np.concatenate((lo[1:], [len(least)])) - 1
+                parts.append((key, least[lo].view(np.int64), stretch(hashes, lo, hi + window).view(np.int64), lo, hi))
             if not parts:
                 return None
-            return {"doc": np.repeat([p[0] for p in parts], [len(p[1]) for p in parts])} | {k: np.concatenate([p[i] for p in parts]) for i, k in ((1, "g"), (2, "lo"), (3, "hi"))}
+            return {"doc": np.repeat([p[0] for p in parts], [len(p[1]) for p in parts])} | {k: np.concatenate([p[i] for p in parts]) for i, k in ((1, "g"), (2, "r"), (3, "lo"), (4, "hi"))}
 
         return step
 
-    return map_texts(docs, factory, "doc long, g long, lo int, hi int")
+    return map_texts(docs, factory, "doc long, g long, r long, lo int, hi int")
 
 
 def _windows(docs: DataFrame, window: int) -> DataFrame:
@@ -126,32 +150,31 @@ def _windows(docs: DataFrame, window: int) -> DataFrame:
 
 
 def _removed(docs: DataFrame, window: int, id_col: str) -> DataFrame:
-    """Counts and what is kept, from a document's text and the starts of its removed windows."""
+    """Counts and what is kept, from a document's text and its ``gone`` window starts (arrays of lo, hi)."""
 
     def factory():
         def step(cols):
             out: dict[str, list] = {id_col: cols["doc"], "n_words": [], "n_removed": [], "kept_text": [], "kept_sha256": [], "intervals": []}
-            for text, starts in zip(cols["text"].to_pylist(), cols["starts"], strict=True):
+            for text, gone in zip(cols["text"].to_pylist(), cols["gone"], strict=True):
                 words = words_of(text)
                 mark = np.zeros(len(words) + 1, np.int64)
-                if starts.is_valid:
-                    at = starts.values.to_numpy()
-                    at = at[at <= len(words) - window]
-                    np.add.at(mark, at, 1)
-                    np.add.at(mark, at + window, -1)
-                gone = np.cumsum(mark)[:-1] > 0
-                edge = np.flatnonzero(np.diff(np.concatenate(([0], gone.astype(np.int8), [0]))))
-                cuts = edge.reshape(-1, 2).tolist()
+                if gone.is_valid:
+                    lo, hi = gone.values.field("lo").to_numpy(), gone.values.field("hi").to_numpy()
+                    fits = hi + window <= len(words)
+                    np.add.at(mark, lo[fits], 1)
+                    np.add.at(mark, hi[fits] + window, -1)
+                cut = np.cumsum(mark)[:-1] > 0
+                edges = np.flatnonzero(np.diff(np.concatenate(([0], cut.astype(np.int8), [0])))).reshape(-1, 2).tolist()
                 kept, last = [], 0
-                for lo, hi in cuts:
+                for lo, hi in edges:
                     kept += words[last:lo]
                     last = hi
                 left = b" ".join(kept + words[last:])
                 out["n_words"].append(len(words))
-                out["n_removed"].append(int(gone.sum()))
+                out["n_removed"].append(int(cut.sum()))
                 out["kept_text"].append(left.decode("utf-8", "replace"))
                 out["kept_sha256"].append(hashlib.sha256(left).hexdigest())
-                out["intervals"].append([{"start": a, "end": b} for a, b in cuts])
+                out["intervals"].append([{"start": a, "end": b} for a, b in edges])
             return out
 
         return step
@@ -164,9 +187,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     known = source.where("doc is not null and text is not null")
     files = materialize(_files(known, window, gram))
-    shared = files.groupBy("g").agg(F.min("doc").alias("m"), F.max("doc").alias("x")).where("m < x").select("g")
-    spans = files.join(shared, "g").groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    stretches = files.groupBy("g", "r").agg(F.min("doc").alias("first"))
+    mixed = stretches.groupBy("g").agg(F.count("*").alias("kinds")).where("kinds > 1").select("g", F.lit(True).alias("mixed"))
+    stretches = stretches.join(mixed, "g", "left").select("g", "r", "first", F.coalesce("mixed", F.lit(False)).alias("mixed"))
+    settled = materialize(files.join(stretches, ["g", "r"]).where("mixed or doc > first").select("doc", "lo", "hi", (F.col("doc") > F.col("first")).alias("gone")))
+    spans = settled.where("not gone").groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     windows = materialize(_windows(known.join(spans, "doc").select("doc", "text", "spans"), window))
     first = windows.groupBy("h1", "h2").agg(F.min("doc").alias("m"), F.max("doc").alias("x")).where("m < x")
-    starts = windows.join(first, ["h1", "h2"]).where("doc > m").groupBy("doc").agg(F.collect_set("start").alias("starts"))
-    return _removed(source.join(starts, "doc", "left").select("doc", "text", "starts"), window, id_col)
+    single = windows.join(first, ["h1", "h2"]).where("doc > m").select("doc", F.col("start").alias("lo"), F.col("start").alias("hi"))
+    gone = settled.where("gone").select("doc", "lo", "hi").union(single).groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("gone"))
+    return _removed(source.join(gone, "doc", "left").select("doc", "text", "gone"), window, id_col)
