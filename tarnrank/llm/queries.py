@@ -52,12 +52,55 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.remove_repeats(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import decontamination as op
+
+    found = op.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated"
+    )
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import license_scan as op
+
+    licenses = F.array_sort(F.array_distinct(F.transform("found", lambda m: m["license"])))
+    return op.scan(documents(spark, sf_dir)).select(
+        "doc_id",
+        F.size(licenses).cast("long").alias("n_licenses"),
+        F.array_join(licenses, ",").alias("licenses"),
+        F.coalesce(F.array_max(F.transform("found", lambda m: m["containment"])), F.lit(0.0)).alias("containment"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op9_decontamination": r"""
+with d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words
+  from documents),
+b as (
+  select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words
+  from benchmark),
+bw as (
+  select item_id, w, array_to_string(list_slice(words, s, s + w - 1), ' ') as k
+  from (select item_id, words, least(13, len(words)) as w, unnest(range(1, len(words) - least(13, len(words)) + 2)) as s from b where len(words) > 0)),
+dw as (
+  select doc_id, w, s, array_to_string(list_slice(words, s, s + w - 1), ' ') as k
+  from (select doc_id, words, w, unnest(range(1, len(words) - w + 2)) as s from d, (select distinct w from bw) where len(words) >= w)),
+hits as (select distinct doc_id, s, w, item_id from dw join bw using (w, k)),
+places as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(s, s + w)) as p from hits) group by doc_id),
+ids as (
+  select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items
+  from (select distinct doc_id, cast(item_id as varchar) as item from hits) group by doc_id)
+select doc_id, cast(len(words) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,
+  sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(words) as contaminated
+from d left join places using (doc_id) left join ids using (doc_id)
+""",
         "op8_substring_dedup": r"""
 with w as (
   select doc_id, case when len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) > 0
