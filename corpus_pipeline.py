@@ -25,16 +25,59 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where(F.col("lang_pred") != op.UND).select("doc_id", F.col("whole").alias("text"), F.coalesce("lang", "lang_pred").alias("lang"), "source", "n_chars")
 
 
+def _version():
+    """The hash that tells apart rows of one id, as the operators take it."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near copies the document with the smallest id (one row of it)."""
+    """Keeps of each group of near copies one row, of the smallest id (null ids only where there is no other)."""
     from tarnrank.llm import simhash as op
 
-    found = op.near_duplicates(docs)
-    kept = found.where("doc_id = component_id").select("doc_id", "fp").groupBy("doc_id").agg(F.min("fp").alias("fp"))
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    docs = docs.select(*COLUMNS)
+    found = common.materialize(op.near_duplicates(docs))
+    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("doc_id", "version")).alias("kept"))
+    first = first.select(F.col("kept.doc_id").alias("kept_id"), F.col("kept.version").alias("kept_version"))
+    out = docs.join(first, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (_version() == F.col("kept_version")), "left_semi")
+    repeated = found.groupBy("doc_id", "version").agg(F.count("*").alias("n")).where("n > 1")
+    # texts are only shuffled once more if rows repeat as a whole
+    return out.dropDuplicates(["doc_id", "text"]) if repeated.limit(1).count() else out
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops contaminated documents: those with benchmark passages in a twentieth of their words or more."""
+    from tarnrank.llm import decontamination as op
+
+    docs = docs.select(*COLUMNS)
+    found = op.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    bad = common.materialize(found.where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("version").alias("bad_version")).distinct())
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")) & (_version() == F.col("bad_version")), "left_anti")
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces every secret by a mark; all documents stay, and n_chars follows the text."""
+    from tarnrank.llm import secret_scan as op
+
+    return op.redact(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, with the hashes of ids and of the bytes they decode to."""
+    import public_tokenizers
+
+    from tarnrank.llm import byte_bpe as op
+
+    return op.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=True)
 
 
-STAGES = [("language ID", language), ("SimHash near-dedup", near_copies)]
+STAGES = [
+    ("language ID", language),
+    ("SimHash near-dedup", near_copies),
+    ("benchmark decontamination", decontaminate),
+    ("secret scans", secrets),
+    ("byte-level BPE encoding and decoding", encode),
+]
+#: Model-based and iterative stages have no SQL; tests compare each stage with brute force.
 ORACLE_SQL = None
 
 

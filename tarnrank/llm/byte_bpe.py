@@ -16,6 +16,7 @@ import array
 import base64
 import hashlib
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -220,7 +221,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
                 a.append(hashlib.sha256(packed).hexdigest())
                 b.append(hashlib.sha256(b"".join(map(tokens.__getitem__, ids))).hexdigest())
                 if keep_ids:
-                    kept.append(ids)
+                    kept.append(np.frombuffer(packed, "<u4").astype(np.int32))
             out = {id_col: cols["id"], "n_tokens": n, "ids_sha256": a, "decoded_sha256": b}
             return out | ({"ids": kept} if keep_ids else {})
 
@@ -228,7 +229,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = source.schema["id"].dataType.simpleString()
-    return map_texts(source, factory, f"{id_col} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<long>" * keep_ids)
+    return map_texts(source, factory, f"{id_col} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids)
 
 
 _held: list = []

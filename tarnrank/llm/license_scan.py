@@ -123,4 +123,6 @@ def _matches(length: int, bands: int, table, clues):
             lambda m: m["containment"] >= MATCH,
         ),
     )
-    return F.flatten(found)
+    # of alike templates, those that the window holds most of
+    best = lambda ms: F.array_max(F.transform(ms, lambda m: m["containment"]))
+    return F.flatten(F.transform(found, lambda ms: F.filter(ms, lambda m: m["containment"] == best(ms))))

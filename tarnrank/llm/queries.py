@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from .common import documents
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import embedding_dedup as op
+
+    return op.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import language_id as op
 
@@ -46,6 +52,14 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from . import token_count as op
+
+    return op.count_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import substring_dedup as op
 
@@ -79,6 +93,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_embedding_dedup": """
+with recursive v as (
+  select vec_id, label, embedding::double[] as e from embeddings
+  where label is not null and embedding is not null and list_bool_and([x is not null and isfinite(x) for x in embedding])),
+n as (select vec_id, label, e, sqrt(list_inner_product(e, e)) as norm from v where list_inner_product(e, e) > 0),
+links as (
+  select a.vec_id as a, b.vec_id as b from n a join n b on a.label = b.label and a.vec_id <> b.vec_id
+  where list_inner_product(a.e, b.e) / (a.norm * b.norm) >= 0.98),
+reach as (select a, b from links union select r.a, l.b from reach r join links l on r.b = l.a),
+c as (select a as vec_id, min(b) as low from reach group by a),
+k as (select a as vec_id, count(*) as n_links from links group by a)
+select vec_id, cast(coalesce(n_links, 0) as bigint) as n_links, least(vec_id, coalesce(low, vec_id)) as component_id,
+  least(vec_id, coalesce(low, vec_id)) = vec_id as kept
+from embeddings left join c using (vec_id) left join k using (vec_id)
+""",
         "op9_decontamination": r"""
 with d as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words

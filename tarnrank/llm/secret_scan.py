@@ -113,7 +113,7 @@ def redact(docs: DataFrame, ledger: str | None = None, mark: str = "[SECRET]") -
 
     Overlapping findings are replaced together.
     """
-    found = findings(docs.select("text"), "text", ledger).where(F.size("findings") > 0).distinct()
+    found = materialize(findings(docs.select("text"), "text", ledger).where(F.size("findings") > 0).distinct())
     rows = docs.withColumn("blob", F.sha2(F.coalesce("text", F.lit("")), 256)).join(found, "blob", "left")
     spans = F.array_sort(F.transform("findings", lambda f: F.struct(f["start"].alias("start"), f["end"].alias("end"))))
     # each piece starts where all spans before it have ended; a span inside those adds nothing

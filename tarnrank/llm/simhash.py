@@ -42,17 +42,18 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and ``fp`` (the 64 bits as a long) for each row; no shuffle."""
+    """id, version (hash of the text, to tell rows of one id apart) and ``fp`` (64 bits as a long); no shuffle."""
 
     def factory():
         def step(cols):
             fps = np.fromiter(map(fingerprint, cols["text"].to_pylist()), np.uint64)
-            return {id_col: cols["id"], "fp": fps.view(np.int64)}
+            return {id_col: cols["id"], "version": cols["version"], "fp": fps.view(np.int64)}
 
         return step
 
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return map_texts(source, factory, f"{id_col} {source.schema['id'].dataType.simpleString()}, fp long")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("version"), text.alias("text"))
+    return map_texts(source, factory, f"{id_col} {source.schema['id'].dataType.simpleString()}, version long, fp long")
 
 
 def _counts(fps: np.ndarray, words: int) -> np.ndarray:
@@ -157,11 +158,11 @@ def links(fps: DataFrame, radius: int = RADIUS, cell: int = CELL) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """id, fp and component_id (smallest id reachable) for each row of ``docs``."""
+    """id, version, fp, root (a component's smallest fingerprint) and component_id (smallest id reachable) for each row."""
     fps = materialize(fingerprints(docs, id_col, text_col))
     first = fps.groupBy("fp").agg(F.min(id_col).alias("first"))
     found = materialize(components(links(fps, radius)))
     known = first.join(found, first.fp == found.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = known.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = known.join(least, "root").select("fp", "component_id")
-    return fps.join(classes, "fp", "left").select(id_col, "fp", "component_id")
+    classes = known.join(least, "root").select("fp", "root", "component_id")
+    return fps.join(classes, "fp", "left").select(id_col, "version", "fp", "root", "component_id")
