@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 WINDOW = 13
-#: Terms up to which the benchmark's side is broadcast (16 bytes each); beyond, joins are shuffled.
-BROADCAST_TERMS = 1_000_000
+#: Rows, of two or three numbers each, up to which a counted side is broadcast; beyond, joins are shuffled.
+BROADCAST_ROWS = 1_000_000
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Stands before every text, so that each document has a posting and no text starts with a separator.
 _MARK = "tarnrankmark"
@@ -42,7 +42,7 @@ def _count(words: Column) -> Column:
 
 def small(df: DataFrame, rows: int) -> DataFrame:
     """``df`` with a broadcast hint if its ``rows``, which were counted, are within the bound."""
-    return F.broadcast(df) if rows <= BROADCAST_TERMS else df
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
 def item_terms(items: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -94,7 +94,13 @@ def matches(index: DataFrame, items: DataFrame, n_terms: int) -> DataFrame:
     found = materialize(alignments(index, items, n_terms))
     wanted = found.join(small(items.select("item", F.col("version").alias("iv"), "q", "t", "w"), n_terms), ["item", "iv"])
     wanted = wanted.select("doc", "version", (F.col("q") + F.col("delta")).alias("pos"), "t", "item", "iv", "delta", "q", "w")
-    met = index.where("pos > 0").select("doc", "version", "pos", "t").join(wanted, ["doc", "version", "pos", "t"])
+    # only documents with an alignment have their postings shuffled, where those documents are few
+    aligned = found.select("doc", "version").distinct()
+    n_aligned = aligned.count()
+    postings = index.where("pos > 0").select("doc", "version", "pos", "t")
+    if n_aligned <= BROADCAST_ROWS:
+        postings = postings.join(F.broadcast(aligned), ["doc", "version"], "left_semi")
+    met = postings.join(wanted, ["doc", "version", "pos", "t"])
     runs = met.groupBy("doc", "version", "item", "iv", "delta", "w").agg(F.sort_array(F.collect_set("q")).alias("qs"))
     # w ascending distinct places make a window if the last is w - 1 after the first
     whole = F.filter("qs", lambda q, i: F.get("qs", i + F.col("w") - 1) == q + F.col("w") - 1)

@@ -45,6 +45,8 @@ RULES = [
     Rule("urlpass", 1, r"://[A-Za-z0-9._~%-]{1,64}+:[A-Za-z0-9._~%!$&*+=-]{3,128}+@[A-Za-z0-9.-]{1,255}+", 0, "://"),
 ]
 BASE = ["assign", "access", "hex"]
+#: Blobs and findings (under 100 bytes each) up to which they are broadcast to texts; beyond, the join is shuffled.
+BROADCAST_FINDINGS = 500_000
 FINDINGS = "array<struct<rule:string,start:int,end:int>>"
 
 
@@ -111,10 +113,12 @@ def _read(spark, ledger: str) -> DataFrame | None:
 def redact(docs: DataFrame, ledger: str | None = None, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` (with a column text) with every finding replaced by ``mark``; no row goes.
 
-    Overlapping findings are replaced together.
+    Overlapping findings are replaced together. Texts are shuffled only where findings are too many
+    to be broadcast, which is counted.
     """
     found = materialize(findings(docs.select("text"), "text", ledger).where(F.size("findings") > 0).distinct())
-    rows = docs.withColumn("blob", F.sha2(F.coalesce("text", F.lit("")), 256)).join(found, "blob", "left")
+    n = found.agg(F.count("*") + F.sum(F.size("findings"))).first()[0] or 0
+    rows = docs.withColumn("blob", F.sha2(F.coalesce("text", F.lit("")), 256)).join(F.broadcast(found) if n <= BROADCAST_FINDINGS else found, "blob", "left")
     spans = F.array_sort(F.transform("findings", lambda f: F.struct(f["start"].alias("start"), f["end"].alias("end"))))
     # each piece starts where all spans before it have ended; a span inside those adds nothing
     ends = rows.withColumn("spans", F.coalesce(spans, F.array().cast("array<struct<start:int,end:int>>")))
