@@ -1 +1 @@
-
+"""Relational operators: aggregates, itemsets, similarity, neighbours, factorisation, evaluation."""

@@ -1 +1 @@
-
+"""Named queries with their oracle SQL."""

@@ -2,10 +2,271 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..operators import aggregates, evaluation, factorisation, itemsets, neighbours, similarity
+from ..sources import sinks, views
 
-def oracle_sql():
-    return {}
+#: Share of baskets that the catalog's supports are: supports themselves are absolute.
+SHARE = 0.004
+#: Similarity from which the catalog's item-based predictions store pairs of items.
+ITEM_SIM = 0.05
+
+
+def _split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rated = views.ratings(spark, sf_dir)
+    return neighbours.split(rated, rated.where(views.is_test()).select("user", "item"))
+
+
+def _support(baskets: DataFrame) -> int:
+    return max(1, int(baskets.select("basket").distinct().count() * SHARE))
+
+
+def _item_sims(train: DataFrame) -> DataFrame:
+    return similarity.jaccard_exact(train.select(F.col("item").alias("id"), F.col("user").alias("element")), ITEM_SIM)
+
+
+def mean_rating_per_item(spark, sf_dir):
+    return aggregates.mean_rating_per_item(views.raw_ratings(spark, sf_dir))
+
+
+def mean_rating_per_tag(spark, sf_dir):
+    return aggregates.mean_rating_per_tag(views.raw_ratings(spark, sf_dir), views.tags(spark, sf_dir))
+
+
+def frequent_singletons(spark, sf_dir):
+    baskets = views.brand_baskets(spark, sf_dir)
+    return itemsets.frequent_singletons(baskets, _support(baskets)).select(F.col("items")[0].alias("item"), "n")
+
+
+def _named(found: DataFrame) -> DataFrame:
+    return found.select(F.array_join(F.transform("items", lambda i: i.cast("string")), ",").alias("items"), "k", "n")
+
+
+def frequent_pairs(spark, sf_dir):
+    baskets = views.brand_baskets(spark, sf_dir)
+    return _named(itemsets.frequent_itemsets(baskets, _support(baskets), 2).where("k = 2"))
+
+
+def frequent_itemsets_case1(spark, sf_dir):
+    baskets = views.brand_baskets(spark, sf_dir)
+    return _named(itemsets.frequent_itemsets(baskets, _support(baskets), 4))
+
+
+def frequent_itemsets_case2(spark, sf_dir):
+    """Days as baskets of users; users on all days but one."""
+    baskets = views.user_baskets(spark, sf_dir)
+    days = baskets.select("basket").distinct().count()
+    return _named(itemsets.frequent_itemsets(baskets, max(1, days - 1), 3))
+
+
+def frequent_two_pass(spark, sf_dir):
+    baskets = views.brand_baskets(spark, sf_dir)
+    return _named(itemsets.frequent_two_pass(baskets, _support(baskets), 2))
+
+
+def frequent_by_growth(spark, sf_dir):
+    baskets = views.brand_baskets(spark, sf_dir)
+    return _named(itemsets.frequent_by_growth(baskets, _support(baskets)).where("k <= 4"))
+
+
+def itemset_report(spark, sf_dir):
+    baskets = views.brand_baskets(spark, sf_dir)
+    return sinks.itemset_report(itemsets.frequent_itemsets(baskets, _support(baskets), 2))
+
+
+def jaccard_exact(spark, sf_dir):
+    return similarity.jaccard_exact(views.document_tokens(spark, sf_dir))
+
+
+def minhash_signatures(spark, sf_dir):
+    signed = similarity.signatures(views.document_tokens(spark, sf_dir))
+    return signed.select("id", F.array_join(F.transform("signature", lambda x: x.cast("string")), ",").alias("signature"))
+
+
+def lsh_buckets(spark, sf_dir):
+    return similarity.buckets(similarity.signatures(views.document_tokens(spark, sf_dir)))
+
+
+def lsh_candidates(spark, sf_dir):
+    return similarity.candidates(similarity.buckets(similarity.signatures(views.document_tokens(spark, sf_dir))))
+
+
+def jaccard_lsh(spark, sf_dir):
+    return similarity.jaccard_lsh(views.document_tokens(spark, sf_dir))
+
+
+def train_test_split(spark, sf_dir):
+    train, test = _split(spark, sf_dir)
+    return train.withColumn("part", F.lit("train")).union(test.withColumn("part", F.lit("test"))).select("user", "item", F.round("rating", 9).alias("rating"), "part")
+
+
+def user_means(spark, sf_dir):
+    return aggregates.mean_by(_split(spark, sf_dir)[0], "user", alias="mean").select("user", F.round("mean", 9).alias("mean"))
+
+
+def item_means(spark, sf_dir):
+    return aggregates.mean_by(_split(spark, sf_dir)[0], "item", alias="mean").select("item", F.round("mean", 9).alias("mean"))
+
+
+def centred_ratings(spark, sf_dir):
+    return aggregates.centred(_split(spark, sf_dir)[0], "user").select("user", "item", (F.round("c", 9) + 0.0).alias("c"))
+
+
+def user_cosine(spark, sf_dir):
+    return neighbours.user_cosine(_split(spark, sf_dir)[0]).select("a", "b", F.round("sim", 8).alias("sim"))
+
+
+def knn_neighbours(spark, sf_dir):
+    train, test = _split(spark, sf_dir)
+    test = neighbours.warm(test, train)
+    found = neighbours.nearest(neighbours.user_candidates(train, test, neighbours.user_cosine(train)))
+    return found.select("user", "item", "neighbour", "rank", F.round("sim", 8).alias("sim"))
+
+
+def predict_user_cf(spark, sf_dir):
+    return neighbours.predict_user_based(*_split(spark, sf_dir)).select("user", "item", F.round("prediction", 10).alias("prediction"))
+
+
+def predict_item_cf(spark, sf_dir):
+    train, test = _split(spark, sf_dir)
+    return neighbours.predict_item_based(train, test, _item_sims(train)).select("user", "item", F.round("prediction", 10).alias("prediction"))
+
+
+def error_histogram(spark, sf_dir):
+    return evaluation.error_histogram(neighbours.predict_user_based(*_split(spark, sf_dir)))
+
+
+def _rounded(total: DataFrame) -> DataFrame:
+    return total.select("n", F.round("mse", 6).alias("mse"), F.round("rmse", 6).alias("rmse"))
+
+
+def rmse_user_cf(spark, sf_dir):
+    return _rounded(evaluation.errors(neighbours.predict_user_based(*_split(spark, sf_dir))))
+
+
+def rmse_item_cf(spark, sf_dir):
+    train, test = _split(spark, sf_dir)
+    return _rounded(evaluation.errors(neighbours.predict_item_based(train, test, _item_sims(train))))
+
+
+def predict_als(spark, sf_dir):
+    train, test = _split(spark, sf_dir)
+    return factorisation.predict(factorisation.fit(train), test).select("user", "item", "prediction")
+
+
+def rmse_als(spark, sf_dir):
+    train, test = _split(spark, sf_dir)
+    return _rounded(evaluation.errors(factorisation.predict(factorisation.fit(train), test)))
+
+
+_NAMES = [
+    mean_rating_per_item, mean_rating_per_tag, frequent_singletons, frequent_pairs, frequent_itemsets_case1, frequent_itemsets_case2, frequent_two_pass, frequent_by_growth,
+    itemset_report, jaccard_exact, minhash_signatures, lsh_buckets, lsh_candidates, jaccard_lsh, train_test_split, user_means, item_means, centred_ratings, user_cosine,
+    knn_neighbours, predict_user_cf, predict_item_cf, error_histogram, rmse_user_cf, rmse_item_cf, predict_als, rmse_als,
+]
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: f for f in _NAMES}
+
+
+_RATINGS = """raw as (select o_custkey as "user", l_partkey as item, l_quantity / 10 as rating from lineitem join orders on l_orderkey = o_orderkey),
+r as (select "user", item, avg(rating) as rating from raw group by all),
+train as (select * from r where ("user" * 7 + item * 13) % 10 <> 0),
+test as (select * from r where ("user" * 7 + item * 13) % 10 = 0)"""
+_BASKETS = f"""b as (select distinct l_orderkey as basket, cast(regexp_extract(p_brand, '([0-9]+)', 1) as bigint) as item from lineitem join part on l_partkey = p_partkey),
+s as (select greatest(1, cast(floor(count(distinct basket) * {SHARE}) as bigint)) as support from b)"""
+_LEVELS = {
+    1: "select b1.item as i1, null::bigint as i2, null::bigint as i3, null::bigint as i4, 1 as k, count(*) as n from b b1 group by all",
+    2: "select b1.item as i1, b2.item as i2, null::bigint as i3, null::bigint as i4, 2 as k, count(*) as n from b b1 join b b2 on b1.basket = b2.basket and b1.item < b2.item group by all",
+    3: "select b1.item as i1, b2.item as i2, b3.item as i3, null::bigint as i4, 3 as k, count(*) as n from b b1 join b b2 on b1.basket = b2.basket and b1.item < b2.item join b b3 on b2.basket = b3.basket and b2.item < b3.item group by all",
+    4: "select b1.item as i1, b2.item as i2, b3.item as i3, b4.item as i4, 4 as k, count(*) as n from b b1 join b b2 on b1.basket = b2.basket and b1.item < b2.item join b b3 on b2.basket = b3.basket and b2.item < b3.item join b b4 on b3.basket = b4.basket and b3.item < b4.item group by all",
+}
+
+
+def _levels(*ks: int) -> str:
+    return "select concat_ws(',', i1, i2, i3, i4) as items, cast(k as integer) as k, n from (" + " union all ".join(_LEVELS[k] for k in ks) + "), s where n >= support"
+
+
+_DAYS = """b as (select distinct cast(strftime(ts, '%Y%m%d') as bigint) as basket, user_id as item from events),
+s as (select greatest(1, count(distinct basket) - 1) as support from b)"""
+_TOKENS = """t as (select distinct doc_id as id, unnest(string_split(trim(regexp_replace(lower(text), '[ \\t\\n\\r]+', ' ', 'g')), ' ')) as element from documents),
+sets as (select id, element from t where element <> '')"""
+_SIGNED = f"""{_TOKENS},
+ranks as (select element, row_number() over (order by element) - 1 as u from (select distinct element from sets)),
+shifts as (select id, list_distinct(list((3 * u) % 671)) as base from sets join ranks using (element) group by id),
+signed as (select id, [list_min([(x + j) % 671 for x in base]) for j in range(400)] as signature from shifts)"""
+_BANDS = f"""{_SIGNED},
+bands as (select id, cast(b as integer) as band, list_dot_product(list_transform(signature[b * 10 + 1 : b * 10 + 10], lambda x: x::double), [1, 227, 671, 2663, 3547, 6949, 10657, 17389, 32609, 59023]::double[])::bigint % 9066 as bucket
+  from signed, range(40) g(b))"""
+_JACCARD = """sizes as (select id, count(*) as n from sets group by id),
+common as (select x.id as a, y.id as b, count(*) as c from sets x join sets y on x.element = y.element and x.id < y.id group by all),
+pairs as (select a, b, c / (p.n + q.n - c) as sim from common join sizes p on a = p.id join sizes q on b = q.id)"""
+_USER = f"""{_RATINGS},
+means as (select "user", avg(rating) as mean from train group by 1),
+c as (select train."user", item, rating - mean as c from train join means using ("user")),
+norms as (select "user", sqrt(sum(c * c)) as norm from c group by 1),
+dots as (select x."user" as a, y."user" as b, sum(x.c * y.c) as dot from c x join c y on x.item = y.item and x."user" < y."user" group by all),
+sims as (select a, b, coalesce(dot / nullif(p.norm * q.norm, 0), 0) as sim from dots join norms p on a = p."user" join norms q on b = q."user"),
+warm as (select * from test where "user" in (select "user" from train) and item in (select item from train)),
+cand as (select w."user", w.item, c."user" as neighbour, coalesce(sim, 0) as sim, c.c from warm w join c on w.item = c.item and w."user" <> c."user"
+  left join sims on a = least(w."user", c."user") and b = greatest(w."user", c."user")),
+ranked as (select *, row_number() over (partition by "user", item order by round(sim, 12) desc, neighbour) as rank from cand),
+near as (select * from ranked where rank between 2 and 6),
+sums as (select "user", item, sum(sim * c) / nullif(sum(sim), 0) as moved from near group by all),
+pred as (select w."user", w.item, w.rating, case when moved is not null then greatest(0, least(5, mean + moved)) else mean end as prediction
+  from warm w join means using ("user") left join sums on sums."user" = w."user" and sums.item = w.item)"""
+_ITEM = f"""{_RATINGS},
+sets as (select item as id, "user" as element from train),
+{_JACCARD},
+both_ways as (select a as item, b as neighbour, sim from pairs where sim >= {ITEM_SIM} union all select b, a, sim from pairs where sim >= {ITEM_SIM}),
+means as (select item, avg(rating) as mean from train group by 1),
+c as (select "user", item, rating - mean as c from train join means using (item)),
+warm as (select * from test where "user" in (select "user" from train) and item in (select item from train)),
+cand as (select w."user", w.item, neighbour, sim, c from warm w join c on w."user" = c."user" join both_ways p on p.item = w.item and p.neighbour = c.item),
+ranked as (select *, row_number() over (partition by "user", item order by round(sim, 12) desc, neighbour) as rank from cand),
+sums as (select "user", item, sum(sim * c) / nullif(sum(sim), 0) as moved from ranked where rank between 2 and 6 group by all),
+pred as (select w."user", w.item, w.rating, case when moved is not null then greatest(0, least(5, mean + moved)) else mean end as prediction
+  from warm w join means using (item) left join sums on sums."user" = w."user" and sums.item = w.item)"""
+_ERRORS = "select count(*) as n, round(avg((rating - prediction) ** 2), 6) as mse, round(sqrt(avg((rating - prediction) ** 2)), 6) as rmse from pred"
+
+
+def oracle_sql() -> dict[str, str]:
+    return {
+        "mean_rating_per_item": f"with {_RATINGS} select item, avg(rating) as rating_avg from raw group by item order by item",
+        "mean_rating_per_tag": f"""with {_RATINGS},
+tags as (select p_partkey as item, unnest([p_type, p_brand] || string_split(p_name, ' ')) as tag from part)
+select tag, avg(rating) as rating_avg from raw join tags using (item) group by tag order by tag desc""",
+        "frequent_singletons": f"with {_BASKETS} select item, n from (select item, count(*) as n from b group by item), s where n >= support",
+        "frequent_pairs": f"with {_BASKETS} {_levels(2)}",
+        "frequent_itemsets_case1": f"with {_BASKETS} {_levels(1, 2, 3, 4)}",
+        "frequent_itemsets_case2": f"with {_DAYS} {_levels(1, 2, 3)}",
+        "frequent_two_pass": f"with {_BASKETS} {_levels(2)}",
+        "frequent_by_growth": f"with {_BASKETS} {_levels(1, 2, 3, 4)}",
+        "itemset_report": f"""with {_BASKETS},
+l as (select * from ({_LEVELS[1]} union all {_LEVELS[2]}), s where n >= support)
+select cast(k as integer) as k, string_agg('(' || concat_ws(', ', i1, i2) || ')', ', ' order by i1, i2) as line from l group by k""",
+        "jaccard_exact": f"with {_TOKENS}, {_JACCARD} select a, b, sim from pairs where sim >= 0.5",
+        "minhash_signatures": f"with {_SIGNED} select id, array_to_string(signature, ',') as signature from signed",
+        "lsh_buckets": f"with {_BANDS} select id, band, bucket from bands",
+        "lsh_candidates": f"with {_BANDS} select distinct x.id as a, y.id as b from bands x join bands y on x.band = y.band and x.bucket = y.bucket and x.id < y.id",
+        "jaccard_lsh": f"""with {_BANDS}, {_JACCARD},
+near as (select distinct x.id as a, y.id as b from bands x join bands y on x.band = y.band and x.bucket = y.bucket and x.id < y.id)
+select a, b, sim from pairs join near using (a, b) where sim >= 0.5""",
+        "train_test_split": f"""with {_RATINGS} select "user", item, round(rating, 9) as rating, 'train' as part from train union all select "user", item, round(rating, 9), 'test' from test""",
+        "user_means": f"""with {_RATINGS} select "user", round(avg(rating), 9) as mean from train group by 1""",
+        "item_means": f"with {_RATINGS} select item, round(avg(rating), 9) as mean from train group by 1",
+        "centred_ratings": f"""with {_RATINGS} select "user", item, round(rating - avg(rating) over (partition by "user"), 9) + 0.0 as c from train""",
+        "user_cosine": f"with {_USER} select a, b, round(sim, 8) as sim from sims",
+        "knn_neighbours": f"""with {_USER} select "user", item, neighbour, cast(rank as integer) as rank, round(sim, 8) as sim from near""",
+        "predict_user_cf": f"""with {_USER} select "user", item, round(prediction, 10) as prediction from pred""",
+        "predict_item_cf": f"""with {_ITEM} select "user", item, round(prediction, 10) as prediction from pred""",
+        "error_histogram": f"""with {_USER} select cast(g.b as integer) as bucket, count(rating) as n
+from range(5) g(b) left join pred on least(floor(abs(rating - prediction)), 4) = g.b group by 1""",
+        "rmse_user_cf": f"with {_USER} {_ERRORS}",
+        "rmse_item_cf": f"with {_ITEM} {_ERRORS}",
+    }

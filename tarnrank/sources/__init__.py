@@ -1 +1 @@
-
+"""Readers with explicit schemas, sinks, and views over the driver tables."""
