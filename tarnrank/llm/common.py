@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -28,6 +30,23 @@ def work_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends the package to Python workers that would not find it on their path."""
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    root, name = os.path.split(package)
+    context = spark.sparkContext
+    if root == os.getcwd() or root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or not os.path.isdir(package) or getattr(context, "_shipped", None) == package:
+        return
+    path = os.path.join(tempfile.mkdtemp(), f"{name}.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, files in os.walk(package):
+            for f in files:
+                if f.endswith(".py"):
+                    z.write(os.path.join(folder, f), os.path.relpath(os.path.join(folder, f), root))
+    context.addPyFile(path)
+    context._shipped = package
+
+
 def materialize(df: DataFrame, path: str | None = None) -> DataFrame:
     """Writes ``df`` as a table in the shared folder and reads it back.
 
@@ -41,13 +60,14 @@ def materialize(df: DataFrame, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_texts(df: DataFrame, fn: Callable[[list, list], dict], schema: str) -> DataFrame:
+def map_texts(df: DataFrame, fn: Callable[[], Callable[[dict], dict | None]], schema: str) -> DataFrame:
     """Maps rows by Arrow batches.
 
-    ``fn(columns)`` gets a dict of Python lists (one entry per column of ``df``) holding a bounded
-    amount of text and returns a dict of lists or arrays, one per column of ``schema``.
-    ``fn`` is built once per task by calling the factory passed here.
+    ``fn()`` makes a task's step; ``step(columns)`` gets a dict of Arrow arrays, one for each column of
+    ``df``, with a bounded amount of text, and returns a dict of lists or arrays, one for each column of
+    ``schema``, or None. A step's attribute ``finish``, if any, is called at the task's end.
     """
+    ship(df.sparkSession)
     names = df.columns
     out_schema = _arrow_schema(df.sparkSession, schema)
 

@@ -116,8 +116,8 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", dim:
     return {k: out[k] for k in sorted(out) if np.any(out[k])}
 
 
-def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", dim: int = DIM, seed: int = SEED) -> DataFrame:
-    """One row per row of ``docs``: the columns of ``docs`` but the text, lang_pred, score (0 to 1)."""
+def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text", dim: int = DIM, seed: int = SEED) -> DataFrame:
+    """One row per row of ``docs``: its columns but the text (its own of these names go), lang_pred, score (0 to 1)."""
     langs = sorted(prototypes)
     unit = np.array([prototypes[k] / np.linalg.norm(prototypes[k]) for k in langs], np.float32).reshape(len(langs), dim)
 
@@ -125,7 +125,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "d
         encoder = Encoder(dim, seed)
 
         def step(cols):
-            vectors = encoder.encode([t or "" for t in cols["text"].to_pylist()])
+            vectors = encoder.encode([t or "" for t in cols["__text"].to_pylist()])
             norm = np.sqrt((vectors.astype(np.float64) ** 2).sum(1))
             if not langs:
                 norm[:] = 0
@@ -133,14 +133,14 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "d
             best = cosine.argmax(1)
             score = np.clip(cosine[np.arange(len(best)), best] / np.where(norm > 0, norm, 1), 0, 1)
             names = [langs[b] if n > 0 else UND for b, n in zip(best, norm, strict=True)]
-            return {k: v for k, v in cols.items() if k != "text"} | {"lang_pred": names, "score": np.where(norm > 0, score, 0.0)}
+            return {k: v for k, v in cols.items() if k != "__text"} | {"lang_pred": names, "score": np.where(norm > 0, score, 0.0)}
 
         return step
 
-    source = docs.withColumnRenamed(text_col, "text") if text_col != "text" else docs
-    source = source.withColumn("text", F.col("text").cast("string"))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "text")
-    return map_texts(source, factory, f"{kept}, lang_pred string, score double")
+    kept = [c for c in docs.columns if c not in (text_col, "lang_pred", "score")]
+    source = docs.select(*kept, F.col(text_col).cast("string").alias("__text"))
+    kinds = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in kept)
+    return map_texts(source, factory, f"{kinds}, lang_pred string, score double")
 
 
 def held_out(id_col: str = "doc_id"):

@@ -75,7 +75,7 @@ def scan(blobs: DataFrame, rules: list[Rule]) -> DataFrame:
 
 
 def findings(versions: DataFrame, text_col: str = "text", ledger: str | None = None, rules: list[Rule] | None = None) -> DataFrame:
-    """The columns of ``versions`` but the text, with ``blob`` and ``findings`` (rule, start, end).
+    """The columns of ``versions`` but the text, with ``blob`` and ``findings`` (rule, start, end); its own of those names go.
 
     ledger: folder of the ledger; what is scanned is added to it. Without one, a new ledger is
     started in the shared work folder. The folder's batches are Parquet, one for each call.
@@ -83,7 +83,8 @@ def findings(versions: DataFrame, text_col: str = "text", ledger: str | None = N
     rules = RULES if rules is None else rules
     spark, keys = versions.sparkSession, [_key(r) for r in rules]
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    paths = versions.withColumn("blob", F.sha2(text, 256)).drop(text_col)
+    kept = [c for c in versions.columns if c not in (text_col, "blob", "findings")]
+    paths = versions.select(*kept, F.sha2(text, 256).alias("blob"))
     blobs = versions.select(F.sha2(text, 256).alias("blob"), text.alias("text")).distinct()
     known = _read(spark, ledger) if ledger else None
     if known is None:
@@ -99,7 +100,7 @@ def findings(versions: DataFrame, text_col: str = "text", ledger: str | None = N
         both = known.union(new).select("blob", F.explode("rules").alias("key"), "findings").where(F.col("key").isin(keys))
         rows = both.select("blob", F.filter("findings", lambda f: f["rule"] == F.substring_index("key", "@", 1)).alias("findings"))
         found = materialize(rows.groupBy("blob").agg(F.flatten(F.collect_set("findings")).alias("findings")))
-    return paths.join(found, "blob").select(*[c for c in versions.columns if c != text_col], "blob", "findings")
+    return paths.join(found, "blob").select(*kept, "blob", "findings")
 
 
 def _read(spark, ledger: str) -> DataFrame | None:
@@ -118,15 +119,16 @@ def redact(docs: DataFrame, ledger: str | None = None, mark: str = "[SECRET]") -
     """
     found = materialize(findings(docs.select("text"), "text", ledger).where(F.size("findings") > 0).distinct())
     n = found.agg(F.count("*") + F.sum(F.size("findings"))).first()[0] or 0
-    rows = docs.withColumn("blob", F.sha2(F.coalesce("text", F.lit("")), 256)).join(F.broadcast(found) if n <= BROADCAST_FINDINGS else found, "blob", "left")
-    spans = F.array_sort(F.transform("findings", lambda f: F.struct(f["start"].alias("start"), f["end"].alias("end"))))
+    found = found.select(F.col("blob").alias("__blob"), F.array_sort(F.transform("findings", lambda f: F.struct(f["start"].alias("start"), f["end"].alias("end")))).alias("__spans"))
+    found = F.broadcast(found) if n <= BROADCAST_FINDINGS else found
+    rows = docs.withColumn("__blob", F.sha2(F.coalesce("text", F.lit("")), 256)).join(found, "__blob", "left")
     # each piece starts where all spans before it have ended; a span inside those adds nothing
-    ends = rows.withColumn("spans", F.coalesce(spans, F.array().cast("array<struct<start:int,end:int>>")))
-    ends = ends.withColumn("reach", F.transform("spans", lambda s, i: F.coalesce(F.array_max(F.transform(F.slice("spans", F.lit(1), i), lambda p: p["end"])), F.lit(0))))
-    parts = F.zip_with("spans", "reach", lambda s, r: F.when(s["start"] >= r, F.concat(F.substring(F.col("text"), r + 1, s["start"] - r), F.lit(mark))).otherwise(F.lit("")))
-    last = F.coalesce(F.array_max(F.transform("spans", lambda s: s["end"])), F.lit(0))
+    reach = F.transform("__spans", lambda s, i: F.coalesce(F.array_max(F.transform(F.slice("__spans", F.lit(1), i), lambda p: p["end"])), F.lit(0)))
+    rows = rows.withColumn("__reach", reach)
+    parts = F.zip_with("__spans", "__reach", lambda s, r: F.when(s["start"] >= r, F.concat(F.substring(F.col("text"), r + 1, s["start"] - r), F.lit(mark))).otherwise(F.lit("")))
+    last = F.array_max(F.transform("__spans", lambda s: s["end"]))
     whole = F.concat(F.array_join(parts, ""), F.substring(F.col("text"), last + 1, F.length("text")))
-    return ends.withColumn("text", F.when(F.size("spans") > 0, whole).otherwise(F.col("text"))).select(*docs.columns)
+    return rows.withColumn("text", F.when(F.size("__spans") > 0, whole).otherwise(F.col("text"))).select(*docs.columns)
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, map_texts, materialize
+from .common import components, map_texts, materialize, ship
 
 RADIUS, SHINGLE = 3, 3
 #: Fingerprints in a cell, the largest side of one comparison task.
@@ -114,7 +114,7 @@ def links(fps: DataFrame, radius: int = RADIUS, cell: int = CELL) -> DataFrame:
     Only a spanning forest of each task is returned, never all pairs of a group. The driver sees
     the tiles' sizes, of which there are at most 83,521.
     """
-    spark = fps.sparkSession
+    ship(fps.sparkSession)
     distinct = materialize(fps.select("fp").distinct())
     high = lambda bits, k: F.bit_count(F.shiftrightunsigned("fp", 64 - bits * (k + 1)).bitwiseAND((1 << bits) - 1))
     for words in (1, 2, 4):
