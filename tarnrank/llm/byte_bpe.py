@@ -24,7 +24,9 @@ from .common import map_texts
 
 #: Pieces kept encoded in each of a worker's two generations, and the longest piece kept: a bound on
 #: memory, not on input.
-CACHED_PIECES, CACHED_LENGTH = 500_000, 64
+CACHED_PIECES, CACHED_LENGTH = 250_000, 64
+#: Steps of the automaton and tested pairs of tokens kept in each worker.
+CACHED_STEPS = 400_000
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -76,7 +78,7 @@ class PrefixBPE:
         if found is None:
             while (found := self._goto.get(at << 8 | byte)) is None and at:
                 at = self._fail[at]
-            if len(self._step) > 2_000_000:
+            if len(self._step) > CACHED_STEPS:
                 self._step.clear()
             self._step[key] = found = found or 0
         return found
@@ -98,7 +100,7 @@ class PrefixBPE:
         if known is None:
             own = [token] if before < 0 else [before, token]
             known = self._merged(b"".join(self.tokens[i] for i in own)) == own
-            if len(self._apart) > 2_000_000:
+            if len(self._apart) > CACHED_STEPS:
                 self._apart.clear()
             self._apart[key] = known
         return known
@@ -208,8 +210,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     def factory():
         import regex
 
-        bpe = _loaded(ranks)
-        pieces, find = _Pieces(bpe), regex.compile(pattern).findall
+        pieces = _loaded(ranks)
+        bpe, find = pieces.bpe, regex.compile(pattern).findall
         tokens = [bpe.tokens.get(i, b"") for i in range(max(bpe.tokens) + 1)]
 
         def step(cols):
@@ -235,8 +237,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
 _held: list = []
 
 
-def _loaded(ranks) -> PrefixBPE:
-    """One vocabulary for each worker process."""
-    if not _held or _held[0] is not ranks.value:
-        _held[:] = [ranks.value, PrefixBPE(read_ranks(ranks.value))]
-    return _held[1]
+def _loaded(ranks) -> _Pieces:
+    """One vocabulary and one cache for each worker process, whatever tasks it runs."""
+    if not _held or _held[0] != len(ranks.value) or _held[1] != hash(ranks.value):
+        _held[:] = [len(ranks.value), hash(ranks.value), _Pieces(PrefixBPE(read_ranks(ranks.value)))]
+    return _held[2]

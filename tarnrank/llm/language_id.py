@@ -20,7 +20,7 @@ from .common import map_texts
 
 DIM, SEED, UND = 1024, 17, "und"
 #: Trigram vectors kept in each worker (1 KB each): a bound on memory, not on input.
-CACHED = 60_000
+CACHED = 30_000
 
 
 class Encoder:
