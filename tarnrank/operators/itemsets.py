@@ -75,8 +75,9 @@ def frequent_two_pass(baskets: DataFrame, support: int, k: int) -> DataFrame:
 
     def local(frames):
         sets = [set(x) for frame in frames for x in frame["items"]]
-        if sets:
-            yield pd.DataFrame({"items": [list(c) for c in sorted(partition_candidates(sets, k, floor(support * len(sets) / total), None))]})
+        found = sorted(partition_candidates(sets, k, floor(support * len(sets) / total), None)) if sets else []
+        if found:
+            yield pd.DataFrame({"items": [list(c) for c in found]})
 
     kind = dict(baskets.dtypes)["item"]
     candidates = rows.select("items").mapInPandas(local, f"items array<{kind}>").distinct().withColumn("first", F.col("items")[0])
