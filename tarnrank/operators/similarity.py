@@ -64,8 +64,11 @@ def candidates(bucketed: DataFrame) -> DataFrame:
 
 
 def verified(sets: DataFrame, pairs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """a, b, sim for pairs with a Jaccard similarity of at least ``threshold``."""
-    whole = sets.distinct().groupBy("id").agg(F.collect_set("element").alias("own"))
+    """a, b, sim for pairs with a Jaccard similarity of at least ``threshold``.
+
+    Elements are compared as 64-bit hashes, so what is shuffled and intersected are longs.
+    """
+    whole = sets.groupBy("id").agg(F.collect_set(F.xxhash64("element")).alias("own"))
     joined = pairs.join(whole.select(F.col("id").alias("a"), F.col("own").alias("x")), "a").join(whole.select(F.col("id").alias("b"), F.col("own").alias("y")), "b")
     both = F.size(F.array_intersect("x", "y"))
     sim = both / (F.size("x") + F.size("y") - both)
@@ -90,8 +93,10 @@ def jaccard_exact(sets: DataFrame, threshold: float = 0.5) -> DataFrame:
     counts = pairs.groupBy("element").agg(F.count("*").alias("f"))
     whole = pairs.join(counts, "element").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("f", "element"))).alias("own"), F.count("*").alias("size"))
     kept = F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1
-    prefix = whole.select("id", "size", F.explode(F.slice("own", F.lit(1), kept.cast("int"))).alias("e")).select("id", "size", F.col("e.element").alias("element"))
-    left = prefix.select(F.col("id").alias("a"), F.col("size").alias("m"), "element")
-    right = prefix.select(F.col("id").alias("b"), F.col("size").alias("n"), "element")
+    prefix = whole.select("id", "size", F.posexplode(F.slice("own", F.lit(1), kept.cast("int"))).alias("at", "e")).select("id", "size", "at", F.xxhash64("e.element").alias("element"))
+    left = prefix.select(F.col("id").alias("a"), F.col("size").alias("m"), F.col("at").alias("i"), "element")
+    right = prefix.select(F.col("id").alias("b"), F.col("size").alias("n"), F.col("at").alias("j"), "element")
     near = left.join(right, "element").where((F.col("a") < F.col("b")) & (F.least("m", "n") >= threshold * F.greatest("m", "n") - 1e-9))
+    # a pair's first shared element leaves no more than what follows it in the shorter rest
+    near = near.where(F.least(F.col("m") - F.col("i"), F.col("n") - F.col("j")) >= threshold / (1 + threshold) * (F.col("m") + F.col("n")) - 1e-9)
     return verified(pairs, near.select("a", "b").distinct(), threshold)
