@@ -21,8 +21,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from tarnrank.llm import language_id as op
 
     prototypes = op.learn(docs.where(~op.held_out()))
-    found = op.predict(docs.select(*COLUMNS, F.col("text").alias("whole")), prototypes)
-    return found.where(F.col("lang_pred") != op.UND).select("doc_id", F.col("whole").alias("text"), F.coalesce("lang", "lang_pred").alias("lang"), "source", "n_chars")
+    found = op.predict(docs.select(*COLUMNS), prototypes, keep_text=True)
+    return found.where(F.col("lang_pred") != op.UND).select("doc_id", "text", F.coalesce("lang", "lang_pred").alias("lang"), "source", "n_chars")
 
 
 def _version():

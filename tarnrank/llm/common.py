@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Texts handed to one inner step of an Arrow mapping: bounds the memory of a batch of long texts.
 CHUNK_CHARS = 4_000_000
+#: Texts in an Arrow batch: Spark's default of 10,000 long texts would not fit a worker.
+BATCH_ROWS = 1_000
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -68,6 +70,9 @@ def map_texts(df: DataFrame, fn: Callable[[], Callable[[dict], dict | None]], sc
     ``schema``, or None. A step's attribute ``finish``, if any, is called at the task's end.
     """
     ship(df.sparkSession)
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(setting)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(setting, BATCH_ROWS)
     names = df.columns
     out_schema = _arrow_schema(df.sparkSession, schema)
 

@@ -116,8 +116,11 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", dim:
     return {k: out[k] for k in sorted(out) if np.any(out[k])}
 
 
-def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text", dim: int = DIM, seed: int = SEED) -> DataFrame:
-    """One row per row of ``docs``: its columns but the text (its own of these names go), lang_pred, score (0 to 1)."""
+def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text", keep_text: bool = False, dim: int = DIM, seed: int = SEED) -> DataFrame:
+    """One row per row of ``docs``: its columns (its own of these names go), lang_pred, score (0 to 1).
+
+    The text is among them with ``keep_text`` only.
+    """
     langs = sorted(prototypes)
     unit = np.array([prototypes[k] / np.linalg.norm(prototypes[k]) for k in langs], np.float32).reshape(len(langs), dim)
 
@@ -133,13 +136,13 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
             best = cosine.argmax(1)
             score = np.clip(cosine[np.arange(len(best)), best] / np.where(norm > 0, norm, 1), 0, 1)
             names = [langs[b] if n > 0 else UND for b, n in zip(best, norm, strict=True)]
-            return {k: v for k, v in cols.items() if k != "__text"} | {"lang_pred": names, "score": np.where(norm > 0, score, 0.0)}
+            return {k: v for k, v in cols.items() if k != "__text"} | ({text_col: cols["__text"]} if keep_text else {}) | {"lang_pred": names, "score": np.where(norm > 0, score, 0.0)}
 
         return step
 
     kept = [c for c in docs.columns if c not in (text_col, "lang_pred", "score")]
     source = docs.select(*kept, F.col(text_col).cast("string").alias("__text"))
-    kinds = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in kept)
+    kinds = ", ".join([f"`{c}` {source.schema[c].dataType.simpleString()}" for c in kept] + [f"`{text_col}` string"] * keep_text)
     return map_texts(source, factory, f"{kinds}, lang_pred string, score double")
 
 
