@@ -24,9 +24,9 @@ from .common import map_texts
 
 #: Pieces kept encoded in each of a worker's two generations, and the longest piece kept: a bound on
 #: memory, not on input.
-CACHED_PIECES, CACHED_LENGTH = 250_000, 64
+CACHED_PIECES, CACHED_LENGTH = 150_000, 64
 #: Steps of the automaton and tested pairs of tokens kept in each worker.
-CACHED_STEPS = 400_000
+CACHED_STEPS = 250_000
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
