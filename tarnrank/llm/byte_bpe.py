@@ -40,8 +40,8 @@ class PrefixBPE:
     A trie of the tokens with failure links gives, byte by byte, the tokens that end there.
     """
 
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], steps: int = CACHED_STEPS):
+        self.ranks, self.steps = ranks, steps
         self.tokens = {i: t for t, i in ranks.items()}
         self.size = {i: len(t) for t, i in ranks.items()}
         self.longest = max(map(len, ranks))
@@ -62,13 +62,13 @@ class PrefixBPE:
         below: dict[int, list[tuple[int, int]]] = {}
         for key, state in self._goto.items():
             below.setdefault(key >> 8, []).append((key & 255, state))
-        self._ends: list[tuple[int, ...]] = [()] * len(own)
+        self._ends: list[tuple[tuple[int, int], ...]] = [()] * len(own)  # tokens and their lengths
         level = [0]
         while level:
             level = [(parent, byte, state) for parent in level for byte, state in below.get(parent, ())]
             for parent, byte, state in level:
                 self._fail[state] = self._next(self._fail[parent], byte) if parent else 0
-                self._ends[state] = ((own[state],) if own[state] >= 0 else ()) + self._ends[self._fail[state]]
+                self._ends[state] = (((own[state], self.size[own[state]]),) if own[state] >= 0 else ()) + self._ends[self._fail[state]]
             level = [state for _, _, state in level]
 
     def _next(self, state: int, byte: int) -> int:
@@ -78,7 +78,7 @@ class PrefixBPE:
         if found is None:
             while (found := self._goto.get(at << 8 | byte)) is None and at:
                 at = self._fail[at]
-            if len(self._step) > CACHED_STEPS:
+            if len(self._step) > self.steps:
                 self._step.clear()
             self._step[key] = found = found or 0
         return found
@@ -100,26 +100,25 @@ class PrefixBPE:
         if known is None:
             own = [token] if before < 0 else [before, token]
             known = self._merged(b"".join(self.tokens[i] for i in own)) == own
-            if len(self._apart) > CACHED_STEPS:
+            if len(self._apart) > self.steps:
                 self._apart.clear()
             self._apart[key] = known
         return known
 
     def extend(self, data: bytes | bytearray, last: list[int], upto: int | None = None) -> None:
         """Fills ``last`` (``last[i]``: the token that ends the prefix of i + 1 bytes) to ``upto``."""
-        step, ends, sizes, known = self._step, self._ends, self.size, self._apart
+        step, ends, known = self._step.get, self._ends, self._apart.get
         state, end = 0, len(last)
         for byte in data[max(0, end - self.longest) : end]:
             state = self._next(state, byte)
         for byte in data[end : len(data) if upto is None else upto]:
             end += 1
-            key = state << 8 | byte
-            state = step[key] if key in step else self._next(state, byte)
-            for token in ends[state]:
-                start = end - sizes[token]
-                before = last[start - 1] if start else -1
-                pair = before << 32 | token
-                if known[pair] if pair in known else self.apart(before, token):
+            to = step(state << 8 | byte)
+            state = self._next(state, byte) if to is None else to
+            for token, size in ends[state]:
+                before = last[end - size - 1] if end > size else -1
+                fits = known(before << 32 | token)
+                if self.apart(before, token) if fits is None else fits:
                     last.append(token)
                     break
             else:
@@ -182,27 +181,30 @@ class PrefixTable:
 class _Pieces(dict):
     """Piece to its ids packed as little-endian 32-bit integers, filled on first use."""
 
-    def __init__(self, bpe: PrefixBPE):
-        self.bpe, self.older = bpe, {}
+    def __init__(self, bpe: PrefixBPE, most: int = CACHED_PIECES):
+        self.bpe, self.older, self.most = bpe, {}, most
 
     def __missing__(self, piece: str) -> bytes:
         packed = self.older.get(piece)
         if packed is None:
             packed = array.array("I", self.bpe.encode_piece(piece.encode("utf-8", "surrogatepass"))).tobytes()
         if len(piece) <= CACHED_LENGTH:
-            if len(self) >= CACHED_PIECES:
+            if len(self) >= self.most:
                 self.older = dict(self)
                 self.clear()
             self[piece] = packed
         return packed
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
+def encode(
+    docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, cached: int = CACHED_PIECES, steps: int = CACHED_STEPS
+) -> DataFrame:
     """One row per row of ``docs``: id, n_tokens, ids_sha256, decoded_sha256, with ``keep_ids`` also ids.
 
     The ids are decoded again and the hash of the decoded bytes is returned, so equality with the
     hash of the text shows the round trip. No shuffle; the rank file goes to each worker as a
-    broadcast of its bytes (the vocabulary's size, whatever the corpus).
+    broadcast of its bytes (the vocabulary's size, whatever the corpus). cached, steps: what a worker
+    keeps of encoded pieces and of the automaton; less takes longer and gives the same ids.
     """
     with open(ranks_path, "rb") as f:
         ranks = docs.sparkSession.sparkContext.broadcast(f.read())
@@ -210,7 +212,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     def factory():
         import regex
 
-        pieces = _loaded(ranks)
+        pieces = _loaded(ranks, cached, steps)
         bpe, find = pieces.bpe, regex.compile(pattern).findall
         tokens = [bpe.tokens.get(i, b"") for i in range(max(bpe.tokens) + 1)]
 
@@ -237,8 +239,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
 _held: list = []
 
 
-def _loaded(ranks) -> _Pieces:
+def _loaded(ranks, cached: int, steps: int) -> _Pieces:
     """One vocabulary and one cache for each worker process, whatever tasks it runs."""
-    if not _held or _held[0] != len(ranks.value) or _held[1] != hash(ranks.value):
-        _held[:] = [len(ranks.value), hash(ranks.value), _Pieces(PrefixBPE(read_ranks(ranks.value)))]
-    return _held[2]
+    key = [len(ranks.value), hash(ranks.value), cached, steps]
+    if _held[:-1] != key:
+        _held[:] = [*key, _Pieces(PrefixBPE(read_ranks(ranks.value), steps), cached)]
+    return _held[-1]
