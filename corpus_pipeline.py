@@ -62,12 +62,15 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, with the hashes of ids and of the bytes they decode to."""
+    """Token ids of each document, with the hashes of ids and of the bytes they decode to.
+
+    Workers keep less than the operator's default, as the earlier stages' memory is still held.
+    """
     import public_tokenizers
 
     from tarnrank.llm import byte_bpe as op
 
-    return op.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=True)
+    return op.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=True, cached=50_000, steps=150_000)
 
 
 STAGES = [
