@@ -320,11 +320,11 @@ def test_language_vectors_are_bound_and_bundled():
 def test_embedding_dedup(spark):
     r = np.random.default_rng(4)
     base = r.normal(size=(150, 20))
-    near = np.concatenate([base, base[:60] + 0.02 * r.normal(size=(60, 20)), base[:20] * 3, np.repeat(base[:1], 70, 0) + 0.01 * r.normal(size=(70, 20))])
+    near = np.concatenate([base, base[:60] + 0.02 * r.normal(size=(60, 20)), base[:20] * 3, np.repeat(base[:1], 70, 0) + 0.01 * r.normal(size=(70, 20)), np.repeat(base[1:3], 30, 0), np.repeat(base[149:], 2, 0) * [0.0, *[1.0] * 19]])
     rows = [(i, v.tolist(), i % 2 if i > 280 else 0) for i, v in enumerate(near)]
-    odd = [(1000, None, 0), (1001, [0.0] * 20, 0), (1002, [None] + [1.0] * 19, 0), (1003, [float("nan")] * 20, 0), (1004, rows[0][1], None), (1005, [], 0), (1006, [1.0, 2.0], 0), (1007, [2.0, 4.0], 0), (0, rows[0][1], 0), (1008, [float("inf")] * 20, 0)]
+    odd = [(1000, None, 0), (1001, [0.0] * 20, 0), (1002, [None] + [1.0] * 19, 0), (1003, [float("nan")] * 20, 0), (1004, rows[0][1], None), (1005, [], 0), (1006, [1.0, 2.0], 0), (1007, [2.0, 4.0], 0), (0, rows[0][1], 0), (1008, [float("inf")] * 20, 0), (1009, [-0.0, *near[-1].tolist()[1:]], 0)]
     frame = spark.createDataFrame([(*x, "c") for x in rows + odd], "vec_id long, embedding array<double>, label int, id string")
-    keep = rows + [odd[6], odd[7]]
+    keep = rows + [odd[6], odd[7], odd[-1]]
     links = {i: set() for i, *_ in rows + odd}
     for i, v, a in keep:
         for j, w, b in keep:
