@@ -78,7 +78,7 @@ def frequent_by_growth(spark, sf_dir):
 
 def itemset_report(spark, sf_dir):
     baskets = views.brand_baskets(spark, sf_dir)
-    return sinks.itemset_report(itemsets.frequent_itemsets(baskets, _support(baskets), 2))
+    return sinks.itemset_report(itemsets.frequent_itemsets(baskets, _support(baskets)))
 
 
 def jaccard_exact(spark, sf_dir):

@@ -201,6 +201,20 @@ def test_text_sinks(spark, tmp_path):
     assert sinks.output_name("app", "/x/Small2.csv", 1, 3, "out") == "out/app_Small2.case1-3.txt"
 
 
+@pytest.fixture(scope="module")
+def brands_dir(spark, tmp_path_factory):
+    """Two orders, one of three brands and one of two of them: the support is 1."""
+    folder = str(tmp_path_factory.mktemp("brands"))
+    spark.createDataFrame([(i, f"Brand#{i}") for i in range(1, 4)], "p_partkey long, p_brand string").write.parquet(f"{folder}/part.parquet")
+    spark.createDataFrame([(1, i) for i in range(1, 4)] + [(2, i) for i in range(1, 3)], "l_orderkey long, l_partkey long").write.parquet(f"{folder}/lineitem.parquet")
+    return folder
+
+
+def test_itemset_report_has_every_level(spark, brands_dir):
+    got = dict(rows_of(catalog.itemset_report(spark, brands_dir)))
+    assert got == {k: ", ".join(f"({', '.join(map(str, c))})" for c in combinations(range(1, 4), k)) for k in range(1, 4)}
+
+
 def test_catalog_names():
     assert set(catalog.oracle_sql()) <= set(catalog.queries())
     assert set(catalog.queries()) - set(catalog.oracle_sql()) == {"predict_als", "rmse_als"}
