@@ -24,24 +24,58 @@ from pyspark.sql import functions as F
 SHINGLE, MATCH, MISS = 5, 0.8, 1e-6
 #: Notices as they stand in files, by license.
 TEMPLATES = [
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November"),
+    ("AGPL-3.0", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("AGPL-3.0", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation, version 3 of the License"),
+    ("AGPL-3.0", "under the terms of the GNU Affero General Public License version 3 as published by the Free Software Foundation"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
     ("Apache-2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
+    ("BSD-2-Clause", "in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY"),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("CC-BY-4.0", "Licensed under CC BY 4.0"),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
+    ("CC0-1.0", "has waived all copyright and related or neighboring rights to"),
+    ("CC0-1.0", "Creative Commons Legal Code CC0 1.0 Universal"),
+    ("EPL-1.0", "made available under the terms of the Eclipse Public License v1.0"),
+    ("EPL-1.0", "Eclipse Public License - v 1.0 THE ACCOMPANYING PROGRAM"),
+    ("EPL-2.0", "made available under the terms of the Eclipse Public License 2.0"),
+    ("EPL-2.0", "made available under the terms of the Eclipse Public License v. 2.0"),
+    ("EPL-2.0", "made available under the terms of the Eclipse Public License v2.0"),
+    ("EPL-2.0", "Eclipse Public License - v 2.0 THE ACCOMPANYING PROGRAM"),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-2.0", "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License"),
+    ("GPL-2.0", "under the terms of the GNU General Public License as published by the Free Software Foundation, version 2 of the License"),
+    ("GPL-2.0", "under the terms of the GNU General Public License version 2 as published by the Free Software Foundation"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June"),
+    ("GPL-3.0", "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("GPL-3.0", "under the terms of the GNU General Public License as published by the Free Software Foundation, version 3 of the License"),
+    ("GPL-3.0", "under the terms of the GNU General Public License version 3 as published by the Free Software Foundation"),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("LGPL-2.0", "GNU LIBRARY GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("LGPL-2.0", "under the terms of the GNU Library General Public License as published by the Free Software Foundation, either version 2 of the License"),
+    ("LGPL-2.0", "under the terms of the GNU Library General Public License as published by the Free Software Foundation, version 2 of the License"),
+    ("LGPL-2.0", "under the terms of the GNU Library General Public License version 2 as published by the Free Software Foundation"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("LGPL-2.1", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License"),
+    ("LGPL-2.1", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, version 2.1 of the License"),
+    ("LGPL-2.1", "under the terms of the GNU Lesser General Public License version 2.1 as published by the Free Software Foundation"),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June"),
+    ("LGPL-3.0", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("LGPL-3.0", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, version 3 of the License"),
+    ("LGPL-3.0", "under the terms of the GNU Lesser General Public License version 3 as published by the Free Software Foundation"),
     ("MIT", "Released under the MIT License"),
     ("MIT", "Licensed under the MIT License"),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain"),
 ]
 #: Words of which every match holds one.
-CLUES = ["distribute", "documentation", "granted", "license", "licensed", "modification"]
+CLUES = ["cc0", "distribute", "documentation", "granted", "license", "licensed", "modification", "neighboring", "unencumbered"]
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 FOUND = "array<struct<license:string,template:int,containment:double,word:int>>"
 

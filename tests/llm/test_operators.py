@@ -298,6 +298,19 @@ def test_license_scan(docs):
         assert (1 - shared / (window + own - shared)) ** license_scan.bands_for(length) <= license_scan.MISS
 
 
+def test_license_headers(spark):
+    header = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+    want = [
+        ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"), ("GPL-3.0", header.format("General Public License", 3)), ("GPL-2.0", header.format("General Public License", 2)),
+        ("LGPL-2.1", header.format("Lesser General Public License", 2.1)), ("LGPL-3.0", header.format("Lesser General Public License", 3)), ("AGPL-3.0", header.format("Affero General Public License", 3)),
+        ("BSD-2-Clause", "reproduce the above copyright notice in the documentation and/or other materials provided with the distribution.\n\nTHIS SOFTWARE IS PROVIDED BY THE AUTHORS"),
+        ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."), ("Unlicense", "This is free and unencumbered software released into the public domain."),
+        ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at"),
+    ]
+    got = {r.doc_id: {m["license"] for m in r.found} for r in license_scan.scan(spark.createDataFrame([(i, f"a b {t} c d") for i, (_, t) in enumerate(want)], "doc_id long, text string")).collect()}
+    assert got == {i: {name} for i, (name, _) in enumerate(want)}
+
+
 def test_language_id(spark, docs):
     sample = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     prototypes = language_id.learn(sample.where(~language_id.held_out()))
