@@ -146,17 +146,18 @@ def _matches(length: int, bands: int, table, clues):
         ),
     )
     signed = F.transform(shingles, lambda w: F.struct(w["at"].alias("at"), w["own"].alias("own"), _signature(w["own"], bands).alias("signature")))
-    held = lambda t, own: F.size(F.array_intersect(t["shingles"], own)) / F.size(t["shingles"])
+    held = lambda t, own: F.array_intersect(t["shingles"], own)
     found = F.transform(
         signed,
         lambda w: F.filter(
             F.transform(
                 F.filter(table, lambda t: F.arrays_overlap(t["signature"], w["signature"])),
-                lambda t: F.struct(t["license"].alias("license"), t["template"].alias("template"), held(t, w["own"]).alias("containment"), w["at"].alias("word")),
+                lambda t: F.struct(t["license"].alias("license"), t["template"].alias("template"), (F.size(held(t, w["own"])) / F.size(t["shingles"])).alias("containment"), w["at"].alias("word"), held(t, w["own"]).alias("held")),
             ),
             lambda m: m["containment"] >= MATCH,
         ),
     )
-    # of alike templates, those that the window holds most of
-    best = lambda ms: F.array_max(F.transform(ms, lambda m: m["containment"]))
-    return F.flatten(F.transform(found, lambda ms: F.filter(ms, lambda m: m["containment"] == best(ms))))
+    # of templates that match the same shingles, those that the window holds most of
+    better = lambda m, o: (o["containment"] > m["containment"]) & (F.size(F.array_except(m["held"], o["held"])) == 0)
+    kept = F.transform(found, lambda ms: F.filter(ms, lambda m: ~F.exists(ms, lambda o: better(m, o))))
+    return F.transform(F.flatten(kept), lambda m: F.struct(*[m[c].alias(c) for c in ("license", "template", "containment", "word")]))

@@ -311,6 +311,13 @@ def test_license_headers(spark):
     assert got == {i: {name} for i, (name, _) in enumerate(want)}
 
 
+def test_licenses_side_by_side(spark):
+    lesser, cc = "This work is licensed under the GNU Lesser General Public License, version three. ", "This work is licensed under a Creative Commons Attribution 4.0 International License. "
+    texts = [lesser + cc, cc, "This work is licensed under the GNU General Public License, version 2"]
+    got = {r.doc_id: {m["license"] for m in r.found} for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: {"LGPL-3.0", "CC-BY-4.0"}, 1: {"CC-BY-4.0"}, 2: {"GPL-2.0"}}
+
+
 def test_language_id(spark, docs):
     sample = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     prototypes = language_id.learn(sample.where(~language_id.held_out()))
