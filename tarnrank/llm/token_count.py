@@ -25,9 +25,10 @@ UNKNOWN = -1
 
 
 def pieces_of_ranks(data: bytes) -> tuple[list[bytes], list[bytes]]:
-    """Word starts and continuations from a ``.tiktoken`` rank file: tokens after a blank start words."""
+    """Word starts and continuations from a ``.tiktoken`` rank file: tokens after a blank start words, and so does any single byte."""
     tokens = [base64.b64decode(line.split()[0]) for line in data.splitlines() if line]
-    return [t[1:] for t in tokens if t[:1] == b" " and len(t) > 1], [t for t in tokens if t[:1] != b" "]
+    rest = [t for t in tokens if t[:1] != b" "]
+    return [t[1:] for t in tokens if t[:1] == b" " and len(t) > 1] + [t for t in rest if len(t) == 1], rest
 
 
 class Automaton:

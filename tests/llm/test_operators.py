@@ -97,6 +97,13 @@ def test_token_count(docs):
     assert sorted(rows_of(token_count.count_tokens(docs, RANKS)), key=key) == sorted(want, key=key)
 
 
+def test_pieces_cover_every_word():
+    starts, rest = token_count.pieces_of_ranks(open(RANKS, "rb").read())
+    automaton = token_count.Automaton(starts, rest)
+    assert all(1 <= automaton.count(w.encode()) <= len(w.encode()) for w in ("языковедение", "русский", "中国人民共和国", "한국어"))
+    assert all(automaton.count(bytes([b])) == 1 for b in range(256) if b != 32)
+
+
 def test_automaton_on_a_small_vocabulary():
     automaton = token_count.Automaton([b"ab", b"a", b"abcd"], [b"b", b"c", b"cde", b"d"])
     assert [automaton.count(w) for w in (b"abcd", b"abc", b"abcde", b"abcdcde", b"b", b"abe", b"aab")] == [1, 2, -1, 2, -1, -1, -1]
