@@ -53,7 +53,7 @@ def frequent_pairs(spark, sf_dir):
 
 def frequent_itemsets_case1(spark, sf_dir):
     baskets = views.brand_baskets(spark, sf_dir)
-    return _named(itemsets.frequent_itemsets(baskets, _support(baskets), 4))
+    return _named(itemsets.frequent_itemsets(baskets, _support(baskets)))
 
 
 def frequent_itemsets_case2(spark, sf_dir):
@@ -73,7 +73,7 @@ def frequent_two_pass(spark, sf_dir):
 
 def frequent_by_growth(spark, sf_dir):
     baskets = views.brand_baskets(spark, sf_dir)
-    return _named(itemsets.frequent_by_growth(baskets, _support(baskets)).where("k <= 4"))
+    return _named(itemsets.frequent_by_growth(baskets, _support(baskets)))
 
 
 def itemset_report(spark, sf_dir):

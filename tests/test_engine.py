@@ -215,6 +215,16 @@ def test_itemset_report_has_every_level(spark, brands_dir):
     assert got == {k: ", ".join(f"({', '.join(map(str, c))})" for c in combinations(range(1, 4), k)) for k in range(1, 4)}
 
 
+def test_case1_and_growth_are_not_cut(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(i, f"Brand#{i}") for i in range(1, 6)], "p_partkey long, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(1, i) for i in range(1, 6)], "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    want = sorted((",".join(map(str, c)), k, 1) for k in range(1, 6) for c in combinations(range(1, 6), k))
+    assert sorted(rows_of(catalog.frequent_by_growth(spark, str(tmp_path)))) == want
+    limits, growth = [], itemsets.frequent_by_growth
+    monkeypatch.setattr(itemsets, "frequent_itemsets", lambda baskets, support, max_k=None: limits.append(max_k) or growth(baskets, support))
+    assert sorted(rows_of(catalog.frequent_itemsets_case1(spark, str(tmp_path)))) == want and limits == [None]
+
+
 def test_catalog_names():
     assert set(catalog.oracle_sql()) <= set(catalog.queries())
     assert set(catalog.queries()) - set(catalog.oracle_sql()) == {"predict_als", "rmse_als"}
