@@ -69,10 +69,11 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import decontamination as op
 
-    found = op.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found = op.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), distance=op.WINDOW)
     return found.select(
-        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated"
-    )
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
+        F.size("near").cast("long").alias("n_near"),
+    )
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,10 +126,19 @@ hits as (select distinct doc_id, s, w, item_id from dw join bw using (w, k)),
 places as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(s, s + w)) as p from hits) group by doc_id),
 ids as (
   select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items
-  from (select distinct doc_id, cast(item_id as varchar) as item from hits) group by doc_id)
+  from (select distinct doc_id, cast(item_id as varchar) as item from hits) group by doc_id),
+dp as (select doc_id, unnest(words) as word, unnest(range(1, len(words) + 1)) as p from d),
+counts as (select word, count(*) as f from dp group by word),
+bt as (select item_id, word, coalesce(f, 0) as f from (select distinct item_id, unnest(words) as word from b) left join counts using (word)),
+rare as (select item_id, word, row_number() over (partition by item_id order by f, word) as r from bt),
+pairs as (select x.item_id, x.word as a, y.word as b from rare x join rare y on x.item_id = y.item_id and x.r = 1 and y.r = 2),
+near as (
+  select doc_id, count(distinct item_id) as n_near from pairs join dp x on x.word = a join dp y using (doc_id)
+  where y.word = b and abs(x.p - y.p) <= 13 group by doc_id)
 select doc_id, cast(len(words) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,
-  sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(words) as contaminated
-from d left join places using (doc_id) left join ids using (doc_id)
+  sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(words) as contaminated,
+  cast(coalesce(n_near, 0) as bigint) as n_near
+from d left join places using (doc_id) left join ids using (doc_id) left join near using (doc_id)
 """,
         "op8_substring_dedup": r"""
 with w as (

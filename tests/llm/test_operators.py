@@ -272,6 +272,7 @@ def test_decontamination(spark, docs):
     assert sorted(got, key=key) == sorted(want, key=key)
     assert sum(x[4] for x in want) > 4
     assert found.count() == len(TEXTS)
+    assert sorted(r.version for r in found.collect()) == sorted(r[0] for r in docs.select(F.xxhash64(F.coalesce("text", F.lit("")))).collect())
     shuffled, decontamination.BROADCAST_ROWS = decontamination.BROADCAST_ROWS, 0
     try:
         got = [(r.doc_id, r.n_words, r.n_hit, tuple(r["items"]), r.contaminated) for r in decontamination.contamination(docs, bench).collect()]
@@ -280,9 +281,36 @@ def test_decontamination(spark, docs):
     assert sorted(got, key=key) == sorted(want, key=key)
 
 
+def test_decontamination_has_no_reserved_words_or_ids(spark):
+    words = "tarnrankmark one two tarnrankmark three four five six seven eight nine ten eleven twelve".split()
+    texts = [(-(1 << 63), " ".join(words)), (0, "x " + " ".join(words[:13]) + " y"), (None, " ".join(words)), (None, "nothing here"), (0, "none"), (5, "tarnrankmark")]
+    items = [(None, " ".join(words)), ((1 << 63) - 1, "tarnrankmark"), (-(1 << 63), "...")]
+    found = decontamination.contamination(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = sorted(((r.doc_id, r.n_words, r.n_hit, tuple(r["items"]), r.contaminated) for r in found.collect()), key=key)
+    big = str((1 << 63) - 1)
+    assert got == sorted([(-(1 << 63), 14, 14, ("", big), True), (0, 15, 13, ("", big), True), (None, 14, 14, ("", big), True), (None, 2, 0, (), False), (0, 1, 0, (), False), (5, 1, 1, (big,), True)], key=key)
+
+
+def test_proximity_of_rarest_words(spark):
+    texts = [(1, "common alpha x x beta"), (2, "beta x x x alpha"), (3, "alpha x x x x beta"), (4, "common common common common"), (4, "alpha beta"), (None, None)]
+    items = [(1, "common Alpha common beta common"), (2, "common"), (3, "zeta common"), (4, None)]
+    found = decontamination.contamination(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), distance=4)
+    words = lambda t: (t or "").lower().split()
+    often = Counter(w for _, t in texts for w in words(t))
+    want = []
+    for i, t in texts:
+        own, near = words(t), []
+        for k, item in items:
+            rare = sorted(set(words(item)), key=lambda w: (often[w], w))[:2]
+            if len(rare) == 2 and any({own[a], own[b]} == set(rare) for a in range(len(own)) for b in range(a + 1, min(len(own), a + 5))):
+                near.append(str(k))
+        want.append((i, tuple(near)))
+    assert sorted(((r.doc_id, tuple(r.near)) for r in found.collect()), key=key) == sorted(want, key=key) and sum(len(n) for _, n in want) == 3 and all("3" not in n for _, n in want)
+
+
 def test_proximity(spark):
     texts = [(1, "one two three four five six seven"), (2, "seven six one"), (3, "one x x x x x x x x seven")]
-    terms = spark.createDataFrame([("one",), ("seven",)], "w string").select(F.xxhash64("w").alias("t"))
+    terms = spark.createDataFrame([("one",), ("seven",)], "w string").select(decontamination.term(F.col("w")).alias("t"))
     index = decontamination.build_index(spark.createDataFrame(texts, "doc_id long, text string"), terms, 2)
     got = decontamination.near(index, spark.createDataFrame([(1, "one", "seven")], "query long, a string, b string"), 6)
     assert sorted(rows_of(got.select("doc", "pos_a", "pos_b"))) == [(1, 1, 7), (2, 3, 1)]
