@@ -3,10 +3,13 @@
 Every version of every path is content-addressed (SHA-256 of its text). A ledger table holds, for
 each blob, the rules (name and version) it was scanned with and what they found; only blobs with a
 rule version that the ledger lacks are scanned, once however many paths hold them, and findings are
-joined back to all paths. A changed rule gets a new version and is the only one run again.
+joined back to all paths. A changed rule gets a new version and is the only one run again. The
+ledger lies in the shared folder (``LEDGER``) unless another is named, so that a later scan of the
+same corpus finds its blobs known; what a stopped scan left without its mark of success is not read.
 
 Rows: null text is the empty blob; empty texts have no findings; repeated rows are returned each
-time; null ids are paths like any other. Texts are scanned whole. No rows give no rows.
+time; null ids are paths like any other. Texts are scanned whole and findings have no greatest
+length: a secret is found, and redacted, to its end. No rows give no rows.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import materialize, work_dir
 from .spans import joined, with_spans
@@ -33,21 +37,27 @@ class Rule(NamedTuple):
 
 _WORD = r"(?i:password|passwd|secret|token|api_?key)"
 _BODY = r"[A-Za-z0-9+/_.=-]"
+_LABEL = r"(?:[A-Z0-9]++\x20){0,4}?PRIVATE KEY(?: BLOCK)?"
 #: The three base rules, then well-known public token formats.
 RULES = [
     Rule("assign", 1, rf"{_WORD}[\"']?\x20*[:=]\x20*[\"']?{_BODY}+", 0, _WORD),
     Rule("access", 1, r"AKIA[A-Z0-9]+", 16, "AKIA"),
     Rule("hex", 1, r"[0-9a-f]{32,}+", 32, ""),
-    Rule("pem", 1, r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----", 0, "-----BEGIN"),
-    Rule("github", 1, r"(?<![A-Za-z0-9_])gh[pousr]_[A-Za-z0-9]{36,255}+", 0, "gh[pousr]_"),
-    Rule("slack", 1, r"(?<![A-Za-z0-9_])xox[abprs]-[A-Za-z0-9-]{10,250}+", 0, "xox[abprs]-"),
+    # a key without its end line reaches to the first character that no key's body has
+    Rule("pem", 2, rf"-----BEGIN {_LABEL}-----(?:(?:\s++Proc-Type:\x20[0-9A-Z,]++\s++DEK-Info:\x20[A-Z0-9-]++,[0-9A-Fa-f]++)?+[^-]*+-----END {_LABEL}-----|[A-Za-z0-9+/=\s]*+)", 0, "-----BEGIN"),
+    Rule("github", 2, r"(?<![A-Za-z0-9_])gh[pousr]_[A-Za-z0-9]{36,}+", 0, "gh[pousr]_"),
+    Rule("slack", 2, r"(?<![A-Za-z0-9_])xox[abprs]-[A-Za-z0-9-]{10,}+", 0, "xox[abprs]-"),
     Rule("jwt", 1, r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+", 0, "eyJ"),
-    Rule("urlpass", 1, r"://[A-Za-z0-9._~%-]{1,64}+:[A-Za-z0-9._~%!$&*+=-]{3,128}+@[A-Za-z0-9.-]{1,255}+", 0, "://"),
+    Rule("urlpass", 2, r"://[A-Za-z0-9._~%-]*+:[A-Za-z0-9._~%!$&*+=-]{3,}+@[A-Za-z0-9.-]++", 0, "://"),
 ]
 BASE = ["assign", "access", "hex"]
 #: Blobs and findings (under 100 bytes each) up to which they are broadcast to texts; beyond, the join is shuffled.
 BROADCAST_FINDINGS = 500_000
 FINDINGS = "array<struct<rule:string,start:int,end:int>>"
+#: The ledger's folder within the shared one.
+LEDGER = "secret-ledger"
+#: Code points in a block that a text is cut into before pieces are taken out of it.
+BLOCK = 4096
 
 
 def _key(rule: Rule) -> str:
@@ -77,23 +87,25 @@ def scan(blobs: DataFrame, rules: list[Rule]) -> DataFrame:
 def findings(versions: DataFrame, text_col: str = "text", ledger: str | None = None, rules: list[Rule] | None = None) -> DataFrame:
     """The columns of ``versions`` but the text, with ``blob`` and ``findings`` (rule, start, end); its own of those names go.
 
-    ledger: folder of the ledger; what is scanned is added to it. Without one, a new ledger is
-    started in the shared work folder. The folder's batches are Parquet, one for each call.
+    ledger: folder of the ledger, in the shared folder if None; what is scanned is added to it as a
+    batch of Parquet. Only hashes are compared with it: a text is shuffled once, pre-aggregated by hash.
     """
     rules = RULES if rules is None else rules
     spark, keys = versions.sparkSession, [_key(r) for r in rules]
+    ledger = ledger or f"{work_dir(spark)}/{LEDGER}"
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     kept = [c for c in versions.columns if c not in (text_col, "blob", "findings")]
     paths = versions.select(*kept, F.sha2(text, 256).alias("blob"))
-    blobs = versions.select(F.sha2(text, 256).alias("blob"), text.alias("text")).distinct()
-    known = _read(spark, ledger) if ledger else None
+    due = versions.select(F.sha2(text, 256).alias("blob"), text.alias("text")).groupBy("blob").agg(F.first("text").alias("text"))
+    known, every = _read(spark, ledger), F.array(*map(F.lit, keys))
     if known is None:
-        due = blobs.withColumn("todo", F.array(*map(F.lit, keys)))
+        due = due.withColumn("todo", every)
     else:
+        known = known.join(paths.select("blob").distinct(), "blob", "left_semi")
         done = known.select("blob", F.explode("rules").alias("rule")).groupBy("blob").agg(F.collect_set("rule").alias("done"))
-        due = blobs.join(done, "blob", "left").withColumn("todo", F.array_except(F.array(*map(F.lit, keys)), F.coalesce("done", F.array().cast("array<string>"))))
+        due = due.join(done, "blob", "left").withColumn("todo", F.array_except(every, F.coalesce("done", F.array().cast("array<string>"))))
         due = due.where(F.size("todo") > 0)
-    new = materialize(scan(due.select("blob", "text", "todo"), rules), f"{ledger or work_dir(spark) + '/ledger-' + uuid.uuid4().hex}/batch-{uuid.uuid4().hex}")
+    new = materialize(scan(due.select("blob", "text", "todo"), rules), f"{ledger}/batch-{uuid.uuid4().hex}")
     found = new.select("blob", "findings")
     if known is not None:
         # findings of rule versions in force: older versions' findings stay in the ledger only
@@ -104,30 +116,42 @@ def findings(versions: DataFrame, text_col: str = "text", ledger: str | None = N
 
 
 def _read(spark, ledger: str) -> DataFrame | None:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(ledger)
+    """The whole batches of a ledger, or None where there is none."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    path = hadoop.Path(ledger)
     files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not files.exists(path) or not files.listStatus(path):
-        return None
-    return spark.read.schema(f"blob string, rules array<string>, findings {FINDINGS}").parquet(f"{ledger}/batch-*")
+    marks = files.globStatus(hadoop.Path(path, "batch-*/_SUCCESS")) if files.exists(path) else []
+    whole = sorted(m.getPath().getParent().toString() for m in marks)
+    return spark.read.schema(f"blob string, rules array<string>, findings {FINDINGS}").parquet(*whole) if whole else None
 
 
 def redact(docs: DataFrame, ledger: str | None = None, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` (with a column text) with every finding replaced by ``mark``; no row goes.
 
     Overlapping findings are replaced together. Texts are shuffled only where findings are too many
-    to be broadcast, which is counted.
+    to be broadcast, which is counted. A text's work grows with its length and its findings, as
+    pieces are taken from blocks of it.
     """
-    found = materialize(findings(docs.select("text"), "text", ledger).where(F.size("findings") > 0).distinct())
-    n = found.agg(F.count("*") + F.sum(F.size("findings"))).first()[0] or 0
-    found = found.select(F.col("blob").alias("__blob"), F.array_sort(F.transform("findings", lambda f: F.struct(f["start"].alias("start"), f["end"].alias("end")))).alias("__spans"))
+    found = findings(docs.select("text"), "text", ledger).where(F.size("findings") > 0).distinct()
+    spans = found.select("blob", F.explode("findings").alias("f")).select("blob", F.col("f.start").alias("start"), F.col("f.end").alias("end")).distinct()
+    # each piece starts where all spans before it have ended; a span inside those adds nothing
+    earlier = Window.partitionBy("blob").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.withColumn("reach", F.coalesce(F.max("end").over(earlier), F.lit(0)))
+    own = F.collect_list(F.when(F.col("start") >= F.col("reach"), F.struct("start", "reach")))
+    found = materialize(spans.groupBy("blob").agg(F.sort_array(own).alias("__spans"), F.max("end").alias("__last")).withColumnRenamed("blob", "__blob"))
+    n = found.agg(F.count("*") + F.sum(F.size("__spans"))).first()[0] or 0
     found = F.broadcast(found) if n <= BROADCAST_FINDINGS else found
     rows = docs.withColumn("__blob", F.sha2(F.coalesce("text", F.lit("")), 256)).join(found, "__blob", "left")
-    # each piece starts where all spans before it have ended; a span inside those adds nothing
-    reach = F.transform("__spans", lambda s, i: F.coalesce(F.array_max(F.transform(F.slice("__spans", F.lit(1), i), lambda p: p["end"])), F.lit(0)))
-    rows = rows.withColumn("__reach", reach)
-    parts = F.zip_with("__spans", "__reach", lambda s, r: F.when(s["start"] >= r, F.concat(F.substring(F.col("text"), r + 1, s["start"] - r), F.lit(mark))).otherwise(F.lit("")))
-    last = F.array_max(F.transform("__spans", lambda s: s["end"]))
-    whole = F.concat(F.array_join(parts, ""), F.substring(F.col("text"), last + 1, F.length("text")))
+    blocks = F.when(F.size("__spans") > 0, F.regexp_extract_all("text", F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)))
+    rows = rows.withColumn("__blocks", blocks)
+
+    def piece(low: Column, high: Column) -> Column:
+        first = F.floor(low / BLOCK).cast("int")
+        held = F.array_join(F.slice("__blocks", first + 1, F.floor((high - 1) / BLOCK).cast("int") - first + 1), "")
+        return F.when(high > low, F.substring(held, low - first * BLOCK + 1, high - low)).otherwise(F.lit(""))
+
+    parts = F.array_join(F.transform("__spans", lambda s: F.concat(piece(s["reach"], s["start"]), F.lit(mark))), "")
+    whole = F.concat(parts, piece(F.col("__last"), F.length("text")))
     return rows.withColumn("text", F.when(F.size("__spans") > 0, whole).otherwise(F.col("text"))).select(*docs.columns)
 
 

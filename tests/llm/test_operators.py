@@ -235,6 +235,46 @@ def test_secret_ledger_scans_only_what_is_new(spark, docs):
     assert batches().count() == before + new.count() and [r[0] for r in new.select(F.explode("rules")).distinct().collect()] == ["assign@2"]
 
 
+def test_secret_ledger_is_kept_in_the_shared_folder(spark, docs):
+    path = f"{work_dir(spark)}/{secret_scan.LEDGER}"
+    first = sorted(rows_of(secret_scan.digest(secret_scan.findings(docs))), key=key)
+    before = spark.read.parquet(f"{path}/batch-*").count()
+    again = sorted(rows_of(secret_scan.digest(secret_scan.findings(docs))), key=key)
+    secret_scan.redact(docs).count()
+    assert again == first and spark.read.parquet(f"{path}/batch-*").count() == before
+
+
+PEM = "-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join("A1b2/+==" * 8 for _ in range(900)) + "\n-----END RSA PRIVATE KEY-----"
+ADDED = [
+    ("pem", PEM), ("pem", "-----BEGIN PRIVATE KEY-----"), ("pem", "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0F1E\n\nQUJD\n-----END RSA PRIVATE KEY-----"),
+    ("github", "ghp_" + "aB3" * 12), ("github", "ghs_" + "Z9" * 2_500), ("slack", "xoxb-" + "a" * 300), ("slack", "xoxp-12-34-" + "Q" * 5_000),
+    ("jwt", "eyJ" + "Q" * 3_000 + ".eyJ" + "R" * 20 + "." + "S_" * 900), ("urlpass", "://" + "u" * 200 + ":" + "P$" * 2_500 + "@" + "h." * 200 + "org"), ("urlpass", "://:redis%pw@cache"),
+]
+CLEAN = ["ghp_short", "xoxb-1", "eyJabc.def.ghi", "https://host:8080/path", "-----BEGIN CERTIFICATE-----", "see http://a.b/c", "mail://a:b c@d"]
+
+
+def test_added_secrets_are_found_whole(spark):
+    rows = [(i, f"é\U0001f600 see {v} , then more") for i, (_, v) in enumerate(ADDED)] + [(100 + i, f"x {v} y") for i, v in enumerate(CLEAN)]
+    rows.append((200, " ".join(v for k, v in ADDED if k != "pem") + " . " + PEM + " . end"))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secret_scan.digest(secret_scan.findings(frame)).collect()}
+    for i, (kind, v) in enumerate(ADDED):
+        end = 7 + len(v) + (v == "-----BEGIN PRIVATE KEY-----")  # without an end line, blanks belong to it
+        assert f"{kind}:7:{end}" in got[i].split(","), (kind, got[i])
+    assert all(got[100 + i] == "" for i in range(len(CLEAN)))
+    assert [k.split(":")[0] for k in got[200].split(",") if not k.startswith(("hex", "assign"))] == [k for k, _ in ADDED if k != "pem"] + ["pem"]
+    left = dict(rows_of(secret_scan.redact(frame)))
+    for i, (_, v) in enumerate(ADDED):
+        assert left[i] == "é\U0001f600 see [SECRET]" + (" , then more" if v != "-----BEGIN PRIVATE KEY-----" else ", then more")
+    assert all(left[100 + i] == t for i, (_, t) in enumerate(rows[len(ADDED) :]) if i < len(CLEAN))
+    assert left[200] == " ".join(["[SECRET]"] * sum(k != "pem" for k, _ in ADDED)) + " . [SECRET] . end"
+
+
+def test_redaction_of_overlaps_across_blocks(spark):
+    text = "日" * 4_095 + " token=ghp_" + "a" * 9_000 + " " + "\U0001f600" * 4_100 + " secret: " + "f0" * 3_000 + "!" + "z " * 3_000
+    assert rows_of(secret_scan.redact(spark.createDataFrame([(text,)], "text string")))[0][0] == "日" * 4_095 + " [SECRET] " + "\U0001f600" * 4_100 + " [SECRET]!" + "z " * 3_000
+
+
 def test_redaction(docs):
     got = sorted(rows_of(secret_scan.redact(docs).select("doc_id", "text")), key=key)
     want = []
