@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 from .common import map_texts
 
 DIM, SEED, UND = 1024, 17, "und"
-#: Trigram vectors kept in each worker (1 KB each): a bound on memory, not on input.
-CACHED = 30_000
+#: Trigram vectors kept in each worker (1 KB each): a bound on memory, not on input. Trigrams are bound in blocks of BLOCK.
+CACHED, BLOCK = 30_000, 8_192
+#: Texts bundled at once, and code points that are counted at once.
+TEXTS, CODES = 64, 1 << 20
 
 
 class Encoder:
@@ -39,25 +41,39 @@ class Encoder:
         return self.letters[code]
 
     def trigrams(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct trigrams (three code points packed in 63 bits, 0 for a gap) and their counts."""
-        codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-        codes = np.where(self.lettered[codes], codes, 0)
-        codes = np.concatenate(([0], codes, [0]))
-        codes = codes[np.concatenate(([True], (codes[1:] != 0) | (codes[:-1] != 0)))]
-        if len(codes) < 3:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return np.unique(codes[:-2] << 42 | codes[1:-1] << 21 | codes[2:], return_counts=True)
+        """Distinct trigrams (three code points packed in 63 bits, 0 for a gap) and their counts.
+
+        Counted piece by piece, with the two codes before each piece, so that a long text costs its
+        own length and its distinct trigrams only.
+        """
+        text = text.lower()
+        keys, counts, tail = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64)
+        for low in range(0, len(text) + 1, CODES):
+            codes = np.frombuffer(text[low : low + CODES].encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+            codes = np.concatenate((tail[-1:], np.where(self.lettered[codes], codes, 0), [0] if low + CODES > len(text) else []))
+            codes = np.concatenate((tail[:-1], codes[:1], codes[1:][(codes[1:] != 0) | (codes[:-1] != 0)])).astype(np.int64)
+            tail = codes[-2:]
+            if len(codes) > 2:
+                own, n = np.unique(codes[:-2] << 42 | codes[1:-1] << 21 | codes[2:], return_counts=True)
+                keys, at = np.unique(np.concatenate((keys, own)), return_inverse=True)
+                counts = np.bincount(at, np.concatenate((counts, n)), len(keys)).astype(np.int64)
+        return keys, counts
 
     def rows(self, keys: np.ndarray) -> np.ndarray:
-        """Rows of ``vectors`` for sorted distinct trigrams; unseen ones are bound and kept."""
+        """Rows of ``vectors`` for sorted distinct trigrams, at most a block; unseen ones are bound and kept.
+
+        Never more than CACHED and a block are held: what was kept goes before that.
+        """
         at = np.searchsorted(self.keys, keys)
         new = keys[(at >= len(self.keys)) | (self.keys[np.minimum(at, len(self.keys) - 1)] != keys)] if len(self.keys) else keys
         if len(new):
-            if len(self.keys) > CACHED:
+            if len(self.keys) + len(new) > CACHED:
                 self.keys, self.vectors, new = self.keys[:0], self.vectors[:0], keys
-            made = np.empty((len(new), self.dim), np.int8)
-            for i, k in enumerate(new.tolist()):
-                made[i] = np.roll(self.letter(k >> 42), 2) * np.roll(self.letter(k >> 21 & 0x1FFFFF), 1) * self.letter(k & 0x1FFFFF)
+            if len(self.letters) > CACHED:
+                self.letters = {}
+            codes, at = np.unique(np.stack((new >> 42, new >> 21 & 0x1FFFFF, new & 0x1FFFFF)), return_inverse=True)
+            letters, at = np.stack([self.letter(c) for c in codes.tolist()]), at.reshape(3, -1)
+            made = np.roll(letters, 2, 1)[at[0]] * np.roll(letters, 1, 1)[at[1]] * letters[at[2]]
             order = np.argsort(both := np.concatenate((self.keys, new)))
             self.keys, self.vectors = both[order], np.concatenate((self.vectors, made))[order]
             at = np.searchsorted(self.keys, keys)
@@ -66,17 +82,19 @@ class Encoder:
     def encode(self, texts: list[str], weight: bool = False) -> np.ndarray:
         """A hypervector for each text (float32); zero without letters. weight: each of unit counts."""
         out = np.zeros((len(texts), self.dim), np.float32)
-        for low in range(0, len(texts), 64):
-            found = [self.trigrams(t) for t in texts[low : low + 64]]
-            keys = np.unique(np.concatenate([k for k, _ in found]))
-            if not len(keys):
-                continue
-            counts = np.zeros((len(found), len(keys)), np.float32)
-            for i, (k, c) in enumerate(found):
-                counts[i, np.searchsorted(keys, k)] = c / (np.sqrt((c * c).sum()) if weight else 1)
-            at = self.rows(keys)
-            for part in range(0, len(keys), 8192):
-                out[low : low + 64] += counts[:, part : part + 8192] @ self.vectors[at[part : part + 8192]].astype(np.float32)
+        for low in range(0, len(texts), TEXTS):
+            found = [self.trigrams(t) for t in texts[low : low + TEXTS]]
+            scale = [np.sqrt(float((c * c).sum())) if weight and len(c) else 1 for _, c in found]
+            every = np.unique(np.concatenate([k for k, _ in found]))
+            # a block of trigrams at a time: counts and vectors of no more are ever held
+            for part in range(0, len(every), BLOCK):
+                keys = every[part : part + BLOCK]
+                counts = np.zeros((len(found), len(keys)), np.float32)
+                for i, (k, c) in enumerate(found):
+                    first, last = np.searchsorted(k, (keys[0], keys[-1] + 1))
+                    counts[i, np.searchsorted(keys, k[first:last])] = c[first:last] / scale[i]
+                at = self.rows(keys)
+                out[low : low + TEXTS] += counts @ self.vectors[at].astype(np.float32)
         return out
 
 

@@ -404,6 +404,49 @@ def test_language_id(spark, docs):
     assert {r.lang_pred for r in language_id.predict(docs, {}).collect()} == {"und"}
 
 
+def test_language_id_equals_brute_force(spark, docs):
+    encoder, vectors = language_id.Encoder(), {}
+
+    def bundle(text, unit):
+        plain = "\0" + re.sub("\0+", "\0", "".join(c if c.isalpha() else "\0" for c in (text or "").lower())).strip("\0") + "\0"
+        counts, out = Counter(zip(plain, plain[1:], plain[2:])), np.zeros(language_id.DIM)
+        size = sum(n * n for n in counts.values()) ** 0.5 if unit else 1
+        for gram, n in counts.items():
+            if gram not in vectors:
+                x, y, z = (encoder.letter(ord(c)).astype(int) for c in gram)
+                vectors[gram] = np.roll(x, 2) * np.roll(y, 1) * z
+            out += vectors[gram] * (n / size)
+        return out
+
+    langs = {i: "abc"[k % 3] if k % 4 else None for k, (i, _) in enumerate(TEXTS)}
+    rows = [(i, t, langs[i], 1.0, "x") for i, t in TEXTS]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double, lang_pred string")
+    prototypes = language_id.learn(frame)
+    own = {k: sum(bundle(t, True) for _, t, lang, *_ in rows if lang == k and t is not None) for k in "abc"}
+    assert sorted(prototypes) == ["a", "b", "c"] and all(np.allclose(prototypes[k] / 1024, own[k], atol=0.05) for k in own)
+    got = sorted(rows_of(language_id.predict(frame, prototypes).select("doc_id", "lang_pred", "score")), key=key)
+    want = []
+    for i, t, *_ in rows:
+        v = bundle(t, False)
+        cosines = {k: v @ p / np.linalg.norm(p) / (np.linalg.norm(v) or 1) for k, p in prototypes.items()}
+        best = max(sorted(cosines), key=cosines.get)
+        want.append((i, best, min(1.0, max(0.0, cosines[best]))) if v.any() else (i, "und", 0.0))
+    assert [x[:2] for x in got] == [x[:2] for x in sorted(want, key=key)]
+    assert np.allclose([x[2] for x in got], [x[2] for x in sorted(want, key=key)], atol=1e-5)
+
+
+def test_language_memory_is_bounded():
+    han = ["".join(chr(0x4E00 + rng.randrange(20_000)) for _ in range(400)) for _ in range(70)]
+    whole = language_id.Encoder().encode(han)
+    cached, block, codes = language_id.CACHED, language_id.BLOCK, language_id.CODES
+    language_id.CACHED, language_id.BLOCK, language_id.CODES = 500, 300, 7
+    try:
+        encoder = language_id.Encoder()
+        assert np.array_equal(encoder.encode(han), whole) and len(encoder.vectors) <= 500 and len(encoder.letters) <= 500 + 900
+    finally:
+        language_id.CACHED, language_id.BLOCK, language_id.CODES = cached, block, codes
+
+
 def test_language_vectors_are_bound_and_bundled():
     encoder = language_id.Encoder()
     keys, counts = encoder.trigrams("Ab  1ab")
