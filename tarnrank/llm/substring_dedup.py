@@ -1,18 +1,21 @@
 """Removal of passages that an earlier document holds already, by Rabin-Karp window hashes.
 
-Words become 64-bit hashes; rolling polynomial hashes of every window of ``WINDOW`` words are
-counted by document in Spark, and windows first seen in a smaller id merge into maximal intervals
-that are removed. Neighbouring windows are counted together where that says as much: every window is
-filed under the least hash of the ``GRAM``-word runs inside it (equal windows have equal leasts), and
-neighbours with the same least form a stretch, about one for twenty windows. Stretches with the same
-words are settled at once: all but those of the smallest id go. Windows are hashed and counted singly
-only in the stretches left whose least occurs in stretches with different words, as at a passage's
-ends. Keys have 96 bits of hash or more, so n of them make a false match as likely as n * n / 2 ** 97.
+Words become two independent 64-bit hashes; rolling polynomial hashes of every window of ``WINDOW``
+words are counted in Spark: how often a window occurs, and the smallest and largest id that it
+occurs in. In a second pass over the texts every window whose smallest id is another's is marked;
+marks merge into 64 starts a number, and those into maximal intervals, which are removed.
+
+A window that alone makes up a ``HOT``-th of all repeated occurrences goes by a broadcast list, which
+has at most ``HOT`` rows whatever the corpus, and its occurrences are spread over all tasks; others
+are joined by hash. Counts are combined before they are shuffled.
+
+A window's key has 96 bits, 64 of one polynomial over one hash of the words and 32 of another over
+the other, so among n windows a false match is as likely as n * n / 2 ** 97; words are not compared.
 
 Rows: null text has no words; texts shorter than a window lose nothing; rows with null id are
 returned whole and remove nothing elsewhere. Repeated rows of one id are one document with several
-texts: neither removes words of the other, each loses what the other's windows lose at the same
-places, and equal rows are returned each time.
+texts: neither removes words of the other, each loses what its own windows lose, and equal rows are
+returned each time. Columns but the two named are not read; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -26,20 +29,32 @@ from pyspark.sql import functions as F
 
 from .common import map_texts, materialize
 
-WINDOW, GRAM = 50, 8
+WINDOW = 50
+#: Greatest number of windows that are broadcast, and the share of occurrences that makes one of them.
+HOT = 10_000
 #: Word hashes kept in each worker: a bound on memory, not on input.
 CACHED = 500_000
 _B1, _B2 = 0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1
 
 
 class _Words(dict):
-    """Word to its 64-bit hash, filled on first use."""
+    """Word to its place in ``pairs``, where its two 64-bit hashes are; filled on first use."""
+
+    def __init__(self):
+        self.digests = bytearray()
 
     def __missing__(self, word: bytes) -> int:
+        self[word] = at = len(self)
+        self.digests += xxhash.xxh3_128_digest(word)
+        return at
+
+    def hashes(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         if len(self) >= CACHED:
             self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
-        return value
+            self.digests = bytearray()
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        pairs = np.frombuffer(bytes(self.digests), np.uint64).reshape(-1, 2)
+        return pairs[at, 0], pairs[at, 1]
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -67,90 +82,34 @@ def rolling(hashes: np.ndarray, size: int, base: int) -> np.ndarray:
     return out ^ out >> np.uint64(32)
 
 
-def _least(values: np.ndarray, span: int) -> np.ndarray:
-    """Minimum of every run of ``span`` values."""
-    width, block = 1, values
-    while 2 * width <= span:
-        block = np.minimum(block[: len(block) - width], block[width:])
-        width *= 2
-    n = len(values) - span + 1
-    return np.minimum(block[:n], block[span - width : span - width + n])
-
-
-class _Stretches:
-    """Polynomial hashes of stretches of any length; powers of the base are kept."""
-
-    def __init__(self):
-        self.up, self.down = np.ones(1, np.uint64), np.ones(1, np.uint64)
-
-    def __call__(self, hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        if len(self.up) <= len(hashes):
-            size = 2 * len(hashes) + 1
-            steps = [np.full(size, b, np.uint64) for b in (_B2, pow(_B2, -1, 1 << 64))]
-            for x in steps:
-                x[0] = 1
-            self.up, self.down = map(np.cumprod, steps)
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * self.up[: len(hashes)])))
-        out = (sums[end] - sums[start]) * self.down[start] + (end - start).astype(np.uint64)
-        out ^= out >> np.uint64(29)
-        out *= np.uint64(0xBF58476D1CE4E5B9)
-        return out ^ out >> np.uint64(32)
-
-
-def _files(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """doc, g, r, lo, hi: the windows lo to hi (starts) have the least gram hash g, their words hash to r."""
-
-    def factory():
-        known, stretch = _Words(), _Stretches()
-
-        def step(cols):
-            parts = []
-            for key, text in zip(cols["doc"].to_pylist(), cols["text"].to_pylist(), strict=True):
-                words = words_of(text)
-                if len(words) < window:
-                    continue
-                hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-                least = _least(rolling(hashes, gram, _B1), window - gram + 1)
-                lo = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
-                hi = np.concatenate((lo[1:], [len(least)])) - 1
-                parts.append((key, least[lo].view(np.int64), stretch(hashes, lo, hi + window).view(np.int64), lo, hi))
-            if not parts:
-                return None
-            return {"doc": np.repeat([p[0] for p in parts], [len(p[1]) for p in parts])} | {k: np.concatenate([p[i] for p in parts]) for i, k in ((1, "g"), (2, "r"), (3, "lo"), (4, "hi"))}
-
-        return step
-
-    return map_texts(docs, factory, "doc long, g long, r long, lo int, hi int")
-
-
 def _windows(docs: DataFrame, window: int) -> DataFrame:
-    """doc, start, h1, h2 for the windows in a document's ``spans`` (arrays of lo, hi)."""
+    """doc, version, start, h1, h2 of every window of ``docs`` (doc, version, text)."""
 
     def factory():
         known = _Words()
 
         def step(cols):
             parts = []
-            for key, text, spans in zip(cols["doc"].to_pylist(), cols["text"].to_pylist(), cols["spans"], strict=True):
+            for doc, version, text in zip(cols["doc"].to_pylist(), cols["version"].to_pylist(), cols["text"].to_pylist(), strict=True):
                 words = words_of(text)
-                hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-                mark = np.zeros(len(words) + 1, np.int32)
-                lo = spans.values.field("lo").to_numpy()
-                hi = spans.values.field("hi").to_numpy()
-                np.add.at(mark, lo, 1)
-                np.add.at(mark, hi + 1, -1)
-                start = np.flatnonzero(np.cumsum(mark) > 0)
-                start = start[start <= len(words) - window]
-                parts.append((key, start, rolling(hashes, window, _B1)[start].view(np.int64), (rolling(hashes, window, _B2)[start] >> np.uint64(32)).astype(np.uint32).view(np.int32)))
-            return {"doc": np.repeat([p[0] for p in parts], [len(p[1]) for p in parts])} | {k: np.concatenate([p[i] for p in parts]) for i, k in ((1, "start"), (2, "h1"), (3, "h2"))}
+                if len(words) >= window:
+                    one, two = known.hashes(words)
+                    parts.append((doc, version, rolling(one, window, _B1).view(np.int64), (rolling(two, window, _B2) >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+            if not parts:
+                return None
+            sizes = [len(p[2]) for p in parts]
+            return {
+                "doc": np.repeat([p[0] for p in parts], sizes), "version": np.repeat([p[1] for p in parts], sizes), "start": np.concatenate([np.arange(n, dtype=np.int32) for n in sizes]),
+                "h1": np.concatenate([p[2] for p in parts]), "h2": np.concatenate([p[3] for p in parts]),
+            }
 
         return step
 
-    return map_texts(docs, factory, "doc long, start int, h1 long, h2 int")
+    return map_texts(docs, factory, "doc long, version long, start int, h1 long, h2 int")
 
 
 def _removed(docs: DataFrame, window: int, id_col: str) -> DataFrame:
-    """Counts and what is kept, from a document's text and its ``gone`` window starts (arrays of lo, hi)."""
+    """Counts and what is kept, from a document's text and its ``gone`` window starts: (block, bits), 64 starts each."""
 
     def factory():
         def step(cols):
@@ -159,10 +118,11 @@ def _removed(docs: DataFrame, window: int, id_col: str) -> DataFrame:
                 words = words_of(text)
                 mark = np.zeros(len(words) + 1, np.int64)
                 if gone.is_valid:
-                    lo, hi = gone.values.field("lo").to_numpy(), gone.values.field("hi").to_numpy()
-                    fits = hi + window <= len(words)
-                    np.add.at(mark, lo[fits], 1)
-                    np.add.at(mark, hi[fits] + window, -1)
+                    blocks, bits = gone.values.field("block").to_numpy(), gone.values.field("bits").to_numpy()
+                    k, j = np.nonzero(np.unpackbits(bits.view(np.uint8), bitorder="little").reshape(-1, 64))
+                    starts = blocks[k].astype(np.int64) * 64 + j
+                    mark[starts] += 1
+                    mark[starts + window] -= 1
                 cut = np.cumsum(mark)[:-1] > 0
                 edges = np.flatnonzero(np.diff(np.concatenate(([0], cut.astype(np.int8), [0])))).reshape(-1, 2).tolist()
                 kept, last = [], 0
@@ -182,18 +142,27 @@ def _removed(docs: DataFrame, window: int, id_col: str) -> DataFrame:
     return map_texts(docs, factory, f"{id_col} long, n_words long, n_removed long, kept_text string, kept_sha256 string, intervals array<struct<start: int, end: int>>")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def repeated_windows(windows: DataFrame) -> DataFrame:
+    """h1, h2, m (smallest id), n (occurrences) of the windows that occur in documents of different ids."""
+    counts = windows.groupBy("h1", "h2").agg(F.min("doc").alias("m"), F.max("doc").alias("x"), F.count("*").alias("n"))
+    return counts.where("m < x").select("h1", "h2", "m", "n")
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """One row per row of ``docs``: id, n_words, n_removed, kept_text, kept_sha256, intervals (words)."""
     source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
+    source = source.select("doc", F.xxhash64("text").alias("version"), "text")
     known = source.where("doc is not null and text is not null")
-    files = materialize(_files(known, window, gram))
-    stretches = files.groupBy("g", "r").agg(F.min("doc").alias("first"))
-    mixed = stretches.groupBy("g").agg(F.count("*").alias("kinds")).where("kinds > 1").select("g", F.lit(True).alias("mixed"))
-    stretches = stretches.join(mixed, "g", "left").select("g", "r", "first", F.coalesce("mixed", F.lit(False)).alias("mixed"))
-    settled = materialize(files.join(stretches, ["g", "r"]).where("mixed or doc > first").select("doc", "lo", "hi", (F.col("doc") > F.col("first")).alias("gone")))
-    spans = settled.where("not gone").groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    windows = materialize(_windows(known.join(spans, "doc").select("doc", "text", "spans"), window))
-    first = windows.groupBy("h1", "h2").agg(F.min("doc").alias("m"), F.max("doc").alias("x")).where("m < x")
-    single = windows.join(first, ["h1", "h2"]).where("doc > m").select("doc", F.col("start").alias("lo"), F.col("start").alias("hi"))
-    gone = settled.where("gone").select("doc", "lo", "hi").union(single).groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("gone"))
-    return _removed(source.join(gone, "doc", "left").select("doc", "text", "gone"), window, id_col)
+    repeated = materialize(repeated_windows(_windows(known, window)))
+    least = (repeated.agg(F.sum("n")).first()[0] or 0) / HOT
+    hot = repeated.where(F.col("n") > least).select("h1", "h2", F.col("m").alias("hot"))
+    marked = _windows(known, window).join(F.broadcast(hot), ["h1", "h2"], "left")
+    # occurrences of hot windows are settled: they get a key that no window has, and spread
+    settled = F.col("hot").isNotNull()
+    keyed = marked.select("doc", "version", "start", "hot", F.when(settled, F.xxhash64("version", "start")).otherwise(F.col("h1")).alias("h1"), F.when(~settled, F.col("h2")).alias("h2"))
+    found = keyed.join(repeated.where(F.col("n") <= least).select("h1", "h2", "m"), ["h1", "h2"], "left").where(F.col("doc") > F.coalesce("hot", "m"))
+    bits = found.select("doc", "version", F.floor(F.col("start") / 64).cast("int").alias("block"), F.expr("shiftleft(1L, start % 64)").alias("bit"))
+    # a document's marks, merged before they are listed, are a number for 64 words of its text at most
+    merged = bits.repartition("doc", "version").groupBy("doc", "version", "block").agg(F.bit_or("bit").alias("bits"))
+    gone = materialize(merged.groupBy("doc", "version").agg(F.collect_list(F.struct("block", "bits")).alias("gone")))
+    return _removed(source.join(gone, ["doc", "version"], "left").select("doc", "text", "gone"), window, id_col)
