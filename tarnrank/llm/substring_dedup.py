@@ -1,13 +1,13 @@
 """Removal of passages that an earlier document holds already, by Rabin-Karp window hashes.
 
 Words become two independent 64-bit hashes; rolling polynomial hashes of every window of ``WINDOW``
-words are counted in Spark: how often a window occurs, and the smallest and largest id that it
-occurs in. In a second pass over the texts every window whose smallest id is another's is marked;
-marks merge into 64 starts a number, and those into maximal intervals, which are removed.
-
-A window that alone makes up a ``HOT``-th of all repeated occurrences goes by a broadcast list, which
-has at most ``HOT`` rows whatever the corpus, and its occurrences are spread over all tasks; others
-are joined by hash. Counts are combined before they are shuffled.
+words are counted in Spark, in packed form: a task sorts the hashes of ``FLUSH`` windows and combines
+equal ones, as a map-side combine does. An occurrence in any document but the smallest of those is
+settled there and then. The others go, dealt by hash to buckets, through the only shuffle of windows,
+as blobs of some 13 bytes a window; a bucket's task finds the smallest id of every hash, and each
+occurrence in another document is marked. So a window in a third of all rows reaches its bucket once
+for each ``FLUSH`` windows, not once a row. Marks, 64 starts a number, are merged by document into
+maximal intervals, which are removed.
 
 A window's key has 96 bits, 64 of one polynomial over one hash of the words and 32 of another over
 the other, so among n windows a false match is as likely as n * n / 2 ** 97; words are not compared.
@@ -27,11 +27,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, materialize
+from .common import map_texts, materialize, ship
 
 WINDOW = 50
-#: Greatest number of windows that are broadcast, and the share of occurrences that makes one of them.
-HOT = 10_000
+#: Windows that a task sorts and combines at once, and windows that a bucket is meant to hold: bounds on memory, of some 60 bytes each.
+FLUSH, BUCKET = 2_000_000, 2_000_000
+#: Ids with several texts up to which they are broadcast; beyond, every text is told apart by its hash.
+BROADCAST_IDS = 1_000_000
 #: Word hashes kept in each worker: a bound on memory, not on input.
 CACHED = 500_000
 _B1, _B2 = 0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1
@@ -41,20 +43,22 @@ class _Words(dict):
     """Word to its place in ``pairs``, where its two 64-bit hashes are; filled on first use."""
 
     def __init__(self):
-        self.digests = bytearray()
+        self.pairs, self.fresh = np.zeros((0, 2), np.uint64), bytearray()
 
     def __missing__(self, word: bytes) -> int:
         self[word] = at = len(self)
-        self.digests += xxhash.xxh3_128_digest(word)
+        self.fresh += xxhash.xxh3_128_digest(word)
         return at
 
     def hashes(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         if len(self) >= CACHED:
             self.clear()
-            self.digests = bytearray()
+            self.pairs = self.pairs[:0]
         at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        pairs = np.frombuffer(bytes(self.digests), np.uint64).reshape(-1, 2)
-        return pairs[at, 0], pairs[at, 1]
+        if self.fresh:
+            self.pairs = np.concatenate((self.pairs, np.frombuffer(bytes(self.fresh), np.uint64).reshape(-1, 2)))
+            self.fresh = bytearray()
+        return self.pairs[at, 0], self.pairs[at, 1]
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -82,30 +86,141 @@ def rolling(hashes: np.ndarray, size: int, base: int) -> np.ndarray:
     return out ^ out >> np.uint64(32)
 
 
-def _windows(docs: DataFrame, window: int) -> DataFrame:
-    """doc, version, start, h1, h2 of every window of ``docs`` (doc, version, text)."""
+#: Fixed layout of a blob: its arrays in order, those of documents (ascending by id, as differences), then those of windows.
+_LAYOUT = [("doc", "<i8", 0), ("version", "<i8", 0), ("h1", "<u8", 1), ("h2", "<u4", 1), ("at", "<u4", 1), ("start", "<u4", 1)]
+
+
+def _pack(arrays: dict[str, np.ndarray]) -> bytes:
+    """The arrays byte plane by byte plane, so that the alike high bytes of sorted numbers lie together and compress."""
+    out = [np.array([len(arrays["doc"]), len(arrays["h1"])], "<i8").tobytes()]
+    for name, kind, _ in _LAYOUT:
+        x = arrays[name].astype(kind)
+        out.append(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes())
+    return b"".join(out)
+
+
+def _unpack(blob: bytes) -> dict[str, np.ndarray]:
+    sizes, at, out = np.frombuffer(blob, "<i8", 2), 16, {}
+    for name, kind, which in _LAYOUT:
+        n, width = int(sizes[which]), np.dtype(kind).itemsize
+        planes = np.frombuffer(blob, np.uint8, n * width, at).reshape(width, n)
+        out[name] = np.ascontiguousarray(planes.T).reshape(-1).view(kind)
+        at += n * width
+    return out
+
+
+def _runs(h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that brings equal windows together, by h1 first, and where each run of them starts."""
+    order = np.argsort(h1, kind="stable")
+    one, two = h1[order], h2[order]
+    if np.any((one[1:] == one[:-1]) & (two[1:] != two[:-1])):
+        order = np.lexsort((h2, h1))
+        one, two = h1[order], h2[order]
+    return order, np.flatnonzero(np.concatenate((np.ones(min(1, len(one)), bool), (one[1:] != one[:-1]) | (two[1:] != two[:-1]))))
+
+
+def _later(order: np.ndarray, first: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Whether each occurrence, in ``order``, lies in a document with a larger id than its window's smallest."""
+    low = np.minimum.reduceat(doc[order], first)
+    return doc[order] > np.repeat(low, np.diff(np.append(first, len(order))))
+
+
+def _marks(at: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents' places, blocks and bits: window starts, 64 a number."""
+    key = at.astype(np.uint64) << np.uint64(32) | start.astype(np.uint64) >> np.uint64(6)
+    order = np.argsort(key, kind="stable")
+    key, bit = key[order], (np.uint64(1) << (start[order].astype(np.uint64) & np.uint64(63)))
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    key = key[first]
+    return (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.int32), np.bitwise_or.reduceat(bit, first).view(np.int64)
+
+
+_MARK = "doc long, version long, block int, bits long"
+
+
+def _windows(docs: DataFrame, window: int, buckets: int) -> DataFrame:
+    """All windows of ``docs`` (doc, version, text): blobs of those to be counted by bucket, and marks of those settled (bucket below 0)."""
+    flush = FLUSH
 
     def factory():
-        known = _Words()
+        known, held, size = _Words(), [], 0
+
+        def combined():
+            nonlocal held, size
+            docs = np.array([(d, v) for d, v, *_ in held], np.int64).reshape(-1, 2)
+            rank = np.empty(len(held), np.int64)
+            rank[np.lexsort((docs[:, 1], docs[:, 0]))] = np.arange(len(held))
+            docs = docs[np.argsort(rank)]
+            sizes = [len(x[2]) for x in held]
+            at = np.repeat(rank, sizes)
+            start = np.concatenate([np.arange(n, dtype=np.uint32) for n in sizes])
+            h1, h2 = np.concatenate([x[2] for x in held]), np.concatenate([x[3] for x in held])
+            held, size = [], 0
+            order, first = _runs(h1, h2)
+            gone = _later(order, first, docs[at, 0])
+            rows: dict[str, list] = {k: [] for k in ("bucket", "doc", "version", "block", "bits", "blob")}
+            settled = order[gone]
+            if len(settled):
+                place, block, bits = _marks(at[settled], start[settled])
+                rows["bucket"] += (-1 - np.arange(len(place)) // 4096 % buckets).tolist()
+                for k, x in (("doc", docs[place, 0]), ("version", docs[place, 1]), ("block", block), ("bits", bits)):
+                    rows[k] += x.tolist()
+                rows["blob"] += [None] * len(place)
+            order = order[~gone]
+            h1, h2, at, start = h1[order], h2[order], at[order], start[order]
+            bucket = ((h1 >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            edges = np.concatenate((np.flatnonzero(np.diff(bucket, prepend=-1)), [len(bucket)]))
+            for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                used = np.zeros(len(docs), bool)
+                used[at[low:high]] = True
+                own = docs[used]
+                rows["blob"].append(_pack({
+                    "doc": np.diff(own[:, 0], prepend=0), "version": own[:, 1], "h1": h1[low:high], "h2": h2[low:high],
+                    "at": (np.cumsum(used) - 1)[at[low:high]], "start": start[low:high],
+                }))
+                rows["bucket"].append(int(bucket[low]))
+                for k in ("doc", "version", "block", "bits"):
+                    rows[k].append(None)
+            return rows
 
         def step(cols):
-            parts = []
+            nonlocal size
             for doc, version, text in zip(cols["doc"].to_pylist(), cols["version"].to_pylist(), cols["text"].to_pylist(), strict=True):
                 words = words_of(text)
                 if len(words) >= window:
                     one, two = known.hashes(words)
-                    parts.append((doc, version, rolling(one, window, _B1).view(np.int64), (rolling(two, window, _B2) >> np.uint64(32)).astype(np.uint32).view(np.int32)))
-            if not parts:
-                return None
-            sizes = [len(p[2]) for p in parts]
-            return {
-                "doc": np.repeat([p[0] for p in parts], sizes), "version": np.repeat([p[1] for p in parts], sizes), "start": np.concatenate([np.arange(n, dtype=np.int32) for n in sizes]),
-                "h1": np.concatenate([p[2] for p in parts]), "h2": np.concatenate([p[3] for p in parts]),
-            }
+                    held.append((doc, version, rolling(one, window, _B1), (rolling(two, window, _B2) >> np.uint64(32)).astype(np.uint32)))
+                    size += len(words) - window + 1
+            return combined() if size >= flush else None
 
+        step.finish = lambda: combined() if size else None
         return step
 
-    return map_texts(docs, factory, "doc long, version long, start int, h1 long, h2 int")
+    return map_texts(docs, factory, f"bucket int, {_MARK}, blob binary")
+
+
+def _repeated(table):
+    """A bucket's blobs to marks of the windows that start in a document with a smaller id too; marks pass."""
+    import pyarrow as pa
+
+    names = ["doc", "version", "block", "bits"]
+    marks = table.select(names)
+    if marks.num_rows and table.column("bucket")[0].as_py() < 0:
+        return marks
+    parts, shift = [], 0
+    for blob in table.column("blob"):
+        x = _unpack(blob.as_buffer())
+        x["doc"], x["at"] = np.cumsum(x["doc"]), x["at"].astype(np.int64) + shift
+        shift += len(x["doc"])
+        parts.append(x)
+    x = {name: np.concatenate([p[name] for p in parts]) for name, *_ in _LAYOUT}
+    del parts
+    order, first = _runs(x["h1"], x["h2"])
+    gone = order[_later(order, first, x["doc"][x["at"]])]
+    if not len(gone):
+        return marks.slice(0, 0)
+    place, block, bits = _marks(x["at"][gone], x["start"][gone])
+    return pa.table([pa.array(v) for v in (x["doc"][place], x["version"][place], block, bits)], names)
 
 
 def _removed(docs: DataFrame, window: int, id_col: str) -> DataFrame:
@@ -142,27 +257,24 @@ def _removed(docs: DataFrame, window: int, id_col: str) -> DataFrame:
     return map_texts(docs, factory, f"{id_col} long, n_words long, n_removed long, kept_text string, kept_sha256 string, intervals array<struct<start: int, end: int>>")
 
 
-def repeated_windows(windows: DataFrame) -> DataFrame:
-    """h1, h2, m (smallest id), n (occurrences) of the windows that occur in documents of different ids."""
-    counts = windows.groupBy("h1", "h2").agg(F.min("doc").alias("m"), F.max("doc").alias("x"), F.count("*").alias("n"))
-    return counts.where("m < x").select("h1", "h2", "m", "n")
+def marked_windows(known: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc, version, block, bits (a bit for each start, 64 a block): windows of ``known`` (doc, version, text) that start in a smaller id too."""
+    n = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = int(n // (5 * BUCKET)) + 1  # words and their gaps take 5 bytes or so
+    ship(known.sparkSession)
+    return _windows(known, window, buckets).groupBy("bucket").applyInArrow(_repeated, _MARK)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """One row per row of ``docs``: id, n_words, n_removed, kept_text, kept_sha256, intervals (words)."""
     source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    source = source.select("doc", F.xxhash64("text").alias("version"), "text")
-    known = source.where("doc is not null and text is not null")
-    repeated = materialize(repeated_windows(_windows(known, window)))
-    least = (repeated.agg(F.sum("n")).first()[0] or 0) / HOT
-    hot = repeated.where(F.col("n") > least).select("h1", "h2", F.col("m").alias("hot"))
-    marked = _windows(known, window).join(F.broadcast(hot), ["h1", "h2"], "left")
-    # occurrences of hot windows are settled: they get a key that no window has, and spread
-    settled = F.col("hot").isNotNull()
-    keyed = marked.select("doc", "version", "start", "hot", F.when(settled, F.xxhash64("version", "start")).otherwise(F.col("h1")).alias("h1"), F.when(~settled, F.col("h2")).alias("h2"))
-    found = keyed.join(repeated.where(F.col("n") <= least).select("h1", "h2", "m"), ["h1", "h2"], "left").where(F.col("doc") > F.coalesce("hot", "m"))
-    bits = found.select("doc", "version", F.floor(F.col("start") / 64).cast("int").alias("block"), F.expr("shiftleft(1L, start % 64)").alias("bit"))
+    # texts of one id are told apart by their hash; the others, mostly all, need none
+    hashed = source.withColumn("version", F.xxhash64("text"))
+    several = materialize(hashed.groupBy("doc").agg(F.min("version").alias("x"), F.max("version").alias("y")).where("doc is not null and x < y").select("doc", F.lit(True).alias("several")))
+    if several.count() <= BROADCAST_IDS:
+        hashed = hashed.join(F.broadcast(several), "doc", "left").select("doc", F.when(F.col("several"), F.col("version")).otherwise(F.lit(0).cast("long")).alias("version"), "text")
+    marks = marked_windows(hashed.where("doc is not null and text is not null"), window)
     # a document's marks, merged before they are listed, are a number for 64 words of its text at most
-    merged = bits.repartition("doc", "version").groupBy("doc", "version", "block").agg(F.bit_or("bit").alias("bits"))
+    merged = marks.repartition("doc", "version").groupBy("doc", "version", "block").agg(F.bit_or("bits").alias("bits"))
     gone = materialize(merged.groupBy("doc", "version").agg(F.collect_list(F.struct("block", "bits")).alias("gone")))
-    return _removed(source.join(gone, ["doc", "version"], "left").select("doc", "text", "gone"), window, id_col)
+    return _removed(hashed.join(gone, ["doc", "version"], "left").select("doc", "text", "gone"), window, id_col)

@@ -148,7 +148,10 @@ def test_simhash_tiles_cut_and_whole(spark, cell):
     assert len({(a, b) for a, b in zip(got, label.tolist())}) == len(set(got)) == len(set(label.tolist()))
 
 
-def test_substring_dedup(docs):
+@pytest.mark.parametrize("flush, bucket", [(2_000_000, 2_000_000), (700, 90)])
+def test_substring_dedup(docs, monkeypatch, flush, bucket):
+    monkeypatch.setattr(substring_dedup, "FLUSH", flush)
+    monkeypatch.setattr(substring_dedup, "BUCKET", bucket)
     words = [(i, (t or "").encode().split()) for i, t in TEXTS]
     first = {}
     for i, w in sorted((x for x in words if x[0] is not None), key=lambda x: x[0]):
@@ -166,6 +169,18 @@ def test_substring_dedup(docs):
     assert sum(x[2] for x in want) > 20_000
 
 
+def test_substring_windows_pack_and_unpack():
+    r = np.random.default_rng(1)
+    for n, m in ((0, 0), (1, 1), (1000, 7)):
+        x = {"doc": r.integers(-5, 1 << 62, m), "version": r.integers(0, 9, m), "h1": np.sort(r.integers(0, 1 << 63, n, np.uint64)), "h2": r.integers(0, 1 << 32, n, np.uint32), "at": r.integers(0, max(1, m), n), "start": r.integers(0, 1 << 31, n)}
+        got = substring_dedup._unpack(substring_dedup._pack(x))
+        assert all(np.array_equal(got[k], x[k]) for k in x)
+    same = np.array([5, 5, 1, 5], np.uint64)
+    order, first = substring_dedup._runs(same, np.array([2, 1, 9, 2], np.uint32))
+    assert order.tolist() == [2, 1, 0, 3] and first.tolist() == [0, 1, 2]
+    assert substring_dedup._later(order, first, np.array([4, 0, 0, 6])).tolist() == [False, False, False, True]
+
+
 def test_pii(docs):
     luhn = lambda d: sum(int(c) if k % 2 == 0 else int(c) * 2 - 9 * (int(c) > 4) for k, c in enumerate(reversed(d))) % 10 == 0
     digits = lambda v: re.sub("[^0-9]", "", v)
