@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import time
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
@@ -53,12 +54,15 @@ def materialize(df: DataFrame, path: str | None = None) -> DataFrame:
     """Writes ``df`` as a table in the shared folder and reads it back.
 
     Cuts the lineage durably: a lost executor costs nothing that was written. The shuffle files
-    behind the table are released afterwards.
+    behind the table are released afterwards: the context's cleaner drops those of collected plans,
+    which takes a second collection, as what the first one frees still holds them.
     """
     spark = df.sparkSession
     path = path or f"{work_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    spark.sparkContext._jvm.System.gc()  # the context cleaner then drops finished shuffles
+    for wait in (0.2, 0):
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(wait)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -4,7 +4,7 @@ Words become two independent 64-bit hashes; rolling polynomial hashes of every w
 words are counted in Spark, in packed form: a task sorts the hashes of ``FLUSH`` windows and combines
 equal ones, as a map-side combine does. An occurrence in any document but the smallest of those is
 settled there and then. The others go, dealt by hash to buckets, through the only shuffle of windows,
-as blobs of some 13 bytes a window; a bucket's task finds the smallest id of every hash, and each
+as compressed blobs of some 13 bytes a window; a bucket's task finds the smallest id of every hash, and each
 occurrence in another document is marked. So a window in a third of all rows reaches its bucket once
 for each ``FLUSH`` windows, not once a row. Marks, 64 starts a number, are merged by document into
 maximal intervals, which are removed.
@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +32,7 @@ from .common import map_texts, materialize, ship
 
 WINDOW = 50
 #: Windows that a task sorts and combines at once, and windows that a bucket is meant to hold: bounds on memory, of some 60 bytes each.
-FLUSH, BUCKET = 2_000_000, 2_000_000
+FLUSH, BUCKET = 1_000_000, 2_000_000
 #: Ids with several texts up to which they are broadcast; beyond, every text is told apart by its hash.
 BROADCAST_IDS = 1_000_000
 #: Word hashes kept in each worker: a bound on memory, not on input.
@@ -43,7 +44,7 @@ class _Words(dict):
     """Word to its place in ``pairs``, where its two 64-bit hashes are; filled on first use."""
 
     def __init__(self):
-        self.pairs, self.fresh = np.zeros((0, 2), np.uint64), bytearray()
+        self.pairs, self.fresh = np.zeros((1024, 2), np.uint64), bytearray()
 
     def __missing__(self, word: bytes) -> int:
         self[word] = at = len(self)
@@ -53,10 +54,12 @@ class _Words(dict):
     def hashes(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         if len(self) >= CACHED:
             self.clear()
-            self.pairs = self.pairs[:0]
         at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         if self.fresh:
-            self.pairs = np.concatenate((self.pairs, np.frombuffer(bytes(self.fresh), np.uint64).reshape(-1, 2)))
+            new = np.frombuffer(bytes(self.fresh), np.uint64).reshape(-1, 2)
+            while len(self.pairs) < len(self):
+                self.pairs = np.concatenate((self.pairs, np.zeros_like(self.pairs)))
+            self.pairs[len(self) - len(new) : len(self)] = new
             self.fresh = bytearray()
         return self.pairs[at, 0], self.pairs[at, 1]
 
@@ -86,22 +89,26 @@ def rolling(hashes: np.ndarray, size: int, base: int) -> np.ndarray:
     return out ^ out >> np.uint64(32)
 
 
-#: Fixed layout of a blob: its arrays in order, those of documents (ascending by id, as differences), then those of windows.
-_LAYOUT = [("doc", "<i8", 0), ("version", "<i8", 0), ("h1", "<u8", 1), ("h2", "<u4", 1), ("at", "<u4", 1), ("start", "<u4", 1)]
+#: Fixed layouts of a blob: its arrays in order, those of documents (ascending by id, as differences), then those of windows or marks.
+_DOCS = [("doc", "<i8", 0), ("version", "<i8", 0)]
+_WINDOWS = [*_DOCS, ("h1", "<u8", 1), ("h2", "<u4", 1), ("at", "<u4", 1), ("start", "<u4", 1)]
+_MARKS = [*_DOCS, ("at", "<u4", 1), ("block", "<i4", 1), ("bits", "<i8", 1)]
 
 
-def _pack(arrays: dict[str, np.ndarray]) -> bytes:
-    """The arrays byte plane by byte plane, so that the alike high bytes of sorted numbers lie together and compress."""
-    out = [np.array([len(arrays["doc"]), len(arrays["h1"])], "<i8").tobytes()]
-    for name, kind, _ in _LAYOUT:
+def _pack(arrays: dict[str, np.ndarray], layout: list) -> tuple[bytes, int]:
+    """The arrays byte plane by byte plane, so that the alike high bytes of sorted numbers lie together; compressed, with their size before."""
+    out = [np.array([len(arrays["doc"]), len(arrays[layout[-1][0]])], "<i8").tobytes()]
+    for name, kind, _ in layout:
         x = arrays[name].astype(kind)
         out.append(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes())
-    return b"".join(out)
+    whole = b"".join(out)
+    return pa.compress(whole, "zstd", asbytes=True), len(whole)
 
 
-def _unpack(blob: bytes) -> dict[str, np.ndarray]:
+def _unpack(blob: bytes, size: int, layout: list) -> dict[str, np.ndarray]:
+    blob = pa.decompress(blob, size, "zstd", asbytes=True)
     sizes, at, out = np.frombuffer(blob, "<i8", 2), 16, {}
-    for name, kind, which in _LAYOUT:
+    for name, kind, which in layout:
         n, width = int(sizes[which]), np.dtype(kind).itemsize
         planes = np.frombuffer(blob, np.uint8, n * width, at).reshape(width, n)
         out[name] = np.ascontiguousarray(planes.T).reshape(-1).view(kind)
@@ -135,9 +142,6 @@ def _marks(at: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.int32), np.bitwise_or.reduceat(bit, first).view(np.int64)
 
 
-_MARK = "doc long, version long, block int, bits long"
-
-
 def _windows(docs: DataFrame, window: int, buckets: int) -> DataFrame:
     """All windows of ``docs`` (doc, version, text): blobs of those to be counted by bucket, and marks of those settled (bucket below 0)."""
     flush = FLUSH
@@ -158,29 +162,28 @@ def _windows(docs: DataFrame, window: int, buckets: int) -> DataFrame:
             held, size = [], 0
             order, first = _runs(h1, h2)
             gone = _later(order, first, docs[at, 0])
-            rows: dict[str, list] = {k: [] for k in ("bucket", "doc", "version", "block", "bits", "blob")}
+            rows: dict[str, list] = {"bucket": [], "size": [], "blob": []}
+
+            def emit(bucket: int, layout: list, **arrays):
+                """A blob, with those of the documents that its places ``at`` name."""
+                used = np.zeros(len(docs), bool)
+                used[arrays["at"]] = True
+                own = docs[used]
+                arrays["at"] = (np.cumsum(used) - 1)[arrays["at"]]
+                blob, n = _pack(arrays | {"doc": np.diff(own[:, 0], prepend=0), "version": own[:, 1]}, layout)
+                for k, v in (("bucket", bucket), ("size", n), ("blob", blob)):
+                    rows[k].append(v)
+
             settled = order[gone]
             if len(settled):
                 place, block, bits = _marks(at[settled], start[settled])
-                rows["bucket"] += (-1 - np.arange(len(place)) // 4096 % buckets).tolist()
-                for k, x in (("doc", docs[place, 0]), ("version", docs[place, 1]), ("block", block), ("bits", bits)):
-                    rows[k] += x.tolist()
-                rows["blob"] += [None] * len(place)
+                emit(-1 - int(h1[0] % np.uint64(buckets)), _MARKS, at=place, block=block, bits=bits)
             order = order[~gone]
             h1, h2, at, start = h1[order], h2[order], at[order], start[order]
             bucket = ((h1 >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
             edges = np.concatenate((np.flatnonzero(np.diff(bucket, prepend=-1)), [len(bucket)]))
             for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                used = np.zeros(len(docs), bool)
-                used[at[low:high]] = True
-                own = docs[used]
-                rows["blob"].append(_pack({
-                    "doc": np.diff(own[:, 0], prepend=0), "version": own[:, 1], "h1": h1[low:high], "h2": h2[low:high],
-                    "at": (np.cumsum(used) - 1)[at[low:high]], "start": start[low:high],
-                }))
-                rows["bucket"].append(int(bucket[low]))
-                for k in ("doc", "version", "block", "bits"):
-                    rows[k].append(None)
+                emit(int(bucket[low]), _WINDOWS, h1=h1[low:high], h2=h2[low:high], at=at[low:high], start=start[low:high])
             return rows
 
         def step(cols):
@@ -196,31 +199,26 @@ def _windows(docs: DataFrame, window: int, buckets: int) -> DataFrame:
         step.finish = lambda: combined() if size else None
         return step
 
-    return map_texts(docs, factory, f"bucket int, {_MARK}, blob binary")
-
+    return map_texts(docs, factory, "bucket int, size int, blob binary")
 
-def _repeated(table):
-    """A bucket's blobs to marks of the windows that start in a document with a smaller id too; marks pass."""
-    import pyarrow as pa
 
-    names = ["doc", "version", "block", "bits"]
-    marks = table.select(names)
-    if marks.num_rows and table.column("bucket")[0].as_py() < 0:
-        return marks
-    parts, shift = [], 0
-    for blob in table.column("blob"):
-        x = _unpack(blob.as_buffer())
+def _repeated(table: pa.Table) -> pa.Table:
+    """A bucket's blobs to marks: of windows that start in a document with a smaller id too, a row each; those settled before, as they are."""
+    settled = table.column("bucket")[0].as_py() < 0
+    layout, parts, shift = (_MARKS if settled else _WINDOWS), [], 0
+    for size, blob in zip(table.column("size").to_pylist(), table.column("blob"), strict=True):
+        x = _unpack(blob.as_buffer(), size, layout)
         x["doc"], x["at"] = np.cumsum(x["doc"]), x["at"].astype(np.int64) + shift
         shift += len(x["doc"])
         parts.append(x)
-    x = {name: np.concatenate([p[name] for p in parts]) for name, *_ in _LAYOUT}
+    x = {name: np.concatenate([p[name] for p in parts]) for name, *_ in layout}
     del parts
-    order, first = _runs(x["h1"], x["h2"])
-    gone = order[_later(order, first, x["doc"][x["at"]])]
-    if not len(gone):
-        return marks.slice(0, 0)
-    place, block, bits = _marks(x["at"][gone], x["start"][gone])
-    return pa.table([pa.array(v) for v in (x["doc"][place], x["version"][place], block, bits)], names)
+    if not settled:
+        order, first = _runs(x["h1"], x["h2"])
+        gone = order[_later(order, first, x["doc"][x["at"]])]
+        start = x["start"][gone]
+        x |= {"at": x["at"][gone], "block": (start >> np.uint32(6)).astype(np.int32), "bits": (np.uint64(1) << (start.astype(np.uint64) & np.uint64(63))).view(np.int64)}
+    return pa.table({"doc": x["doc"][x["at"]], "version": x["version"][x["at"]], "block": x["block"], "bits": x["bits"]})
 
 
 def _removed(docs: DataFrame, window: int, id_col: str) -> DataFrame:
@@ -262,7 +260,7 @@ def marked_windows(known: DataFrame, window: int = WINDOW) -> DataFrame:
     n = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(n // (5 * BUCKET)) + 1  # words and their gaps take 5 bytes or so
     ship(known.sparkSession)
-    return _windows(known, window, buckets).groupBy("bucket").applyInArrow(_repeated, _MARK)
+    return _windows(known, window, buckets).groupBy("bucket").applyInArrow(_repeated, "doc long, version long, block int, bits long")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:

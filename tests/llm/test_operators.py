@@ -173,7 +173,7 @@ def test_substring_windows_pack_and_unpack():
     r = np.random.default_rng(1)
     for n, m in ((0, 0), (1, 1), (1000, 7)):
         x = {"doc": r.integers(-5, 1 << 62, m), "version": r.integers(0, 9, m), "h1": np.sort(r.integers(0, 1 << 63, n, np.uint64)), "h2": r.integers(0, 1 << 32, n, np.uint32), "at": r.integers(0, max(1, m), n), "start": r.integers(0, 1 << 31, n)}
-        got = substring_dedup._unpack(substring_dedup._pack(x))
+        got = substring_dedup._unpack(*substring_dedup._pack(x, substring_dedup._WINDOWS), substring_dedup._WINDOWS)
         assert all(np.array_equal(got[k], x[k]) for k in x)
     same = np.array([5, 5, 1, 5], np.uint64)
     order, first = substring_dedup._runs(same, np.array([2, 1, 9, 2], np.uint32))
