@@ -1,8 +1,9 @@
 """Frequent itemsets with an absolute support, exact at every level.
 
-Level k extends the occurrences of frequent (k - 1)-sets by a larger item of the same basket, keeps
-those whose other (k - 1)-subset at the end is frequent too, and counts. What is shuffled is keyed by
-basket or by itemset, both pre-aggregated; nothing but a level's size reaches the driver.
+Level k's candidates come from the frequent (k - 1)-sets alone: two that differ in their last item
+are joined, and those with a (k - 1)-subset that is not frequent go. Then occurrences of the frequent
+(k - 1)-sets are extended by a larger item of the same basket, only to candidates, and counted. What
+is shuffled is keyed by basket or by itemset; nothing but a level's size reaches the driver.
 """
 
 from __future__ import annotations
@@ -21,6 +22,17 @@ def frequent_singletons(baskets: DataFrame, support: int) -> DataFrame:
     return baskets.distinct().groupBy("item").agg(F.count("*").alias("n")).where(F.col("n") >= support).select(F.array("item").alias("items"), F.lit(1).alias("k"), "n")
 
 
+def level_candidates(level: DataFrame, k: int) -> DataFrame:
+    """``items`` of k items all of whose (k - 1)-subsets are in ``level`` (items)."""
+    head, last = F.slice("items", 1, k - 2), F.element_at("items", -1)
+    left, right = level.select(head.alias("head"), last.alias("x")), level.select(head.alias("head"), last.alias("y"))
+    grown = left.join(right, "head").where("x < y").select(F.concat("head", F.array("x", "y")).alias("items"))
+    for drop in range(k - 2):  # those without one of the last two are what was joined
+        subset = F.concat(F.slice("items", 1, drop), F.slice("items", drop + 2, k - drop - 1))
+        grown = grown.withColumn("subset", subset).join(level.select(F.col("items").alias("subset")), "subset", "left_semi").select("items")
+    return grown
+
+
 def frequent_itemsets(baskets: DataFrame, support: int, max_k: int | None = None) -> DataFrame:
     """items (ascending array), k, n for every set in at least ``support`` baskets; none gives no rows."""
     if support < 1:
@@ -31,12 +43,15 @@ def frequent_itemsets(baskets: DataFrame, support: int, max_k: int | None = None
     found, held, k = level, pairs.select("basket", F.array("item").alias("items")), 1
     while (max_k is None or k < max_k) and not level.isEmpty():
         k += 1
+        able = level_candidates(level, k)
         grown = held.join(pairs, "basket").where(F.col("item") > F.element_at("items", -1)).select("basket", F.concat("items", F.array("item")).alias("items"))
-        if k > 2:
-            tail = F.slice("items", 2, k - 1)
-            grown = grown.withColumn("tail", tail).join(level.select(F.col("items").alias("tail")), "tail", "left_semi").select("basket", "items")
+        grown = grown.join(able, "items", "left_semi").select("basket", "items")
         level = grown.groupBy("items").agg(F.count("*").alias("n")).where(F.col("n") >= support).select("items", F.lit(k).alias("k"), "n").persist(StorageLevel.MEMORY_AND_DISK)
-        held = grown.join(level.select("items"), "items", "left_semi").select("basket", "items").persist(StorageLevel.MEMORY_AND_DISK)
+        below, held = held, grown.join(level.select("items"), "items", "left_semi").select("basket", "items").persist(StorageLevel.MEMORY_AND_DISK)
+        if not level.isEmpty():
+            held.count()  # what the level below held is then no longer needed
+        if k > 2:
+            below.unpersist()
         found = found.union(level)
     return found
 
@@ -55,32 +70,70 @@ def frequent_by_growth(baskets: DataFrame, support: int) -> DataFrame:
 
 
 def partition_candidates(rows: list[set], k: int, local: float, known: set | None) -> set:
-    """Ascending k-tuples that occur in at least ``local`` of a partition's baskets."""
+    """Ascending k-tuples that occur in at least ``local`` of a partition's baskets.
+
+    With ``known``, the candidates of the level before, only tuples whose (k - 1)-subsets are all
+    among them are counted, and of each basket only the items that some of them holds.
+    """
     counts: dict[tuple, int] = {}
+    useful = None if known is None else {i for c in known for i in c}
     for row in rows:
-        for c in combinations(sorted(row), k):
-            if k < 3 or known is None or all(s in known for s in combinations(c, k - 1)):
+        for c in combinations(sorted(row if useful is None else row & useful), k):
+            if known is None or all(s in known for s in combinations(c, k - 1)):
                 counts[c] = counts.get(c, 0) + 1
     return {c for c, n in counts.items() if n >= local}
 
 
-def frequent_two_pass(baskets: DataFrame, support: int, k: int) -> DataFrame:
-    """k-sets by two passes: candidates frequent within a partition of baskets, then exact counts.
+def partition_levels(rows: list[set], local: float, max_k: int | None = None) -> list[tuple]:
+    """Candidates of every level of a partition, until a level is empty."""
+    found, known, k = [], None, 0
+    while max_k is None or k < max_k:
+        k += 1
+        known = partition_candidates(rows, k, local, known)
+        if not known:
+            break
+        found += sorted(known)
+    return found
 
-    A set frequent overall is so in some partition at its share of the support, so the result equals
-    :func:`frequent_itemsets` at that level however baskets are dealt.
+
+def frequent_two_pass(baskets: DataFrame, support: int, max_k: int | None = None, block: int = 20_000) -> DataFrame:
+    """items, k, n by two passes: candidates frequent within a block of baskets, level by level, then exact counts.
+
+    A set frequent overall is so in some block at its share of the support, so the result equals
+    :func:`frequent_itemsets` however baskets are dealt. A block of at most ``block`` baskets is what
+    a task holds; items that are not frequent are dropped before, as no frequent set has one. Candidates
+    are joined with baskets on their first two items, so that a basket only meets those it may hold.
     """
-    rows = baskets.distinct().groupBy("basket").agg(F.collect_set("item").alias("items")).persist(StorageLevel.MEMORY_AND_DISK)
+    if support < 1:
+        raise ValueError("support must be 1 or more")
+    pairs = baskets.select("basket", "item").where("basket is not null and item is not null").distinct()
+    single = frequent_singletons(pairs, support)
+    pairs = pairs.join(single.select(F.col("items")[0].alias("item")), "item", "left_semi")
+    rows = pairs.groupBy("basket").agg(F.collect_set("item").alias("items")).persist(StorageLevel.MEMORY_AND_DISK)
     total = rows.count()
 
     def local(frames):
-        sets = [set(x) for frame in frames for x in frame["items"]]
-        found = sorted(partition_candidates(sets, k, floor(support * len(sets) / total), None)) if sets else []
-        if found:
-            yield pd.DataFrame({"items": [list(c) for c in found]})
+        held: list[set] = []
+
+        def found():
+            own = partition_levels(held, max(1.0, floor(support * len(held) / total)), max_k)
+            held.clear()
+            return pd.DataFrame({"items": [list(c) for c in own]})
+
+        for frame in frames:
+            for x in frame["items"]:
+                held.append(set(x))
+                if len(held) >= block:
+                    yield found()
+        if held:
+            yield found()
 
     kind = dict(baskets.dtypes)["item"]
-    candidates = rows.select("items").mapInPandas(local, f"items array<{kind}>").distinct().withColumn("first", F.col("items")[0])
-    long = rows.select("basket", F.col("items").alias("own"), F.explode("items").alias("first"))
-    counted = long.join(candidates, "first").where(F.size(F.array_except("items", "own")) == 0).groupBy("items").agg(F.count("*").alias("n"))
-    return counted.where(F.col("n") >= support).select("items", F.lit(k).alias("k"), "n")
+    candidates = rows.select("items").mapInPandas(local, f"items array<{kind}>").distinct().where("size(items) > 1")
+    candidates = candidates.select("items", F.col("items")[0].alias("first"), F.col("items")[1].alias("second"))
+    first, second = pairs.select("basket", F.col("item").alias("first")), pairs.select("basket", F.col("item").alias("second"))
+    met = first.join(second, "basket").where("first < second").join(candidates, ["first", "second"]).select("basket", "items")
+    # pairs are whole already; of larger candidates a basket must hold the rest too
+    more = met.where("size(items) > 2").join(rows.select("basket", F.col("items").alias("own")), "basket").where(F.size(F.array_except("items", "own")) == 0)
+    counted = met.where("size(items) = 2").select("items").union(more.select("items")).groupBy("items").agg(F.count("*").alias("n"))
+    return single.union(counted.where(F.col("n") >= support).select("items", F.size("items").alias("k"), "n"))

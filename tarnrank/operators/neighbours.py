@@ -10,6 +10,8 @@ from ..functions.expressions import clamp, ratio
 
 #: Digits that similarities are rounded to before they are ranked, so that ties are ties everywhere.
 DIGITS = 12
+#: Rows of a group in a block, from which its pairs are dealt to several groups.
+BLOCK = 2_000
 
 
 def split(ratings: DataFrame, test_pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -23,18 +25,54 @@ def warm(test: DataFrame, train: DataFrame) -> DataFrame:
     return test.join(train.select("user").distinct(), "user", "left_semi").join(train.select("item").distinct(), "item", "left_semi")
 
 
-def user_cosine(train: DataFrame) -> DataFrame:
-    """a < b, sim: cosine of users' centred rows, over co-rated items with norms over all items.
+def centred_rows(train: DataFrame) -> DataFrame:
+    """user, item, c: ratings less their user's mean."""
+    return train.groupBy("user").agg(F.avg("rating").alias("mean")).join(train, "user").select("user", "item", (F.col("rating") - F.col("mean")).alias("c"))
+
+
+def meetings(rows: DataFrame, group: str, key: str, value: str, block: int = BLOCK) -> DataFrame:
+    """a < b, x, y: pairs of ``key`` that occur with one ``group``, with their values.
 
-    Pairs without a co-rated item are absent (0); a user whose ratings are all equal has 0.
+    A group of more than ``block`` rows is cut by hash into blocks; each row meets each block in a
+    group of its own, so that no task holds the square of a large group.
     """
-    rows = train.groupBy("user").agg(F.avg("rating").alias("mean")).join(train, "user").select("user", "item", (F.col("rating") - F.col("mean")).alias("c"))
+    sizes = rows.groupBy(group).agg(F.count("*").alias("size"))
+    cut = rows.join(sizes.where("size > 1"), group).withColumn("cuts", F.ceil(F.col("size") / block).cast("int"))
+    left = cut.select(group, F.col(key).alias("a"), F.col(value).alias("x"), F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("part"))
+    right = cut.select(group, F.col(key).alias("b"), F.col(value).alias("y"), F.pmod(F.xxhash64(key), F.col("cuts")).cast("int").alias("part"))
+    return left.join(right, [group, "part"]).where("a < b").select("a", "b", "x", "y")
+
+
+def directions(train: DataFrame) -> DataFrame:
+    """user, item, c: ratings less their user's mean, over the norm of all of these; 0 for a user whose ratings are all equal."""
+    rows = centred_rows(train)
     norms = rows.groupBy("user").agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("norm"))
-    left = rows.select(F.col("user").alias("a"), "item", F.col("c").alias("x"))
-    right = rows.select(F.col("user").alias("b"), "item", F.col("c").alias("y"))
-    dots = left.join(right, "item").where("a < b").groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
-    scaled = dots.join(norms.select(F.col("user").alias("a"), F.col("norm").alias("na")), "a").join(norms.select(F.col("user").alias("b"), F.col("norm").alias("nb")), "b")
-    return scaled.select("a", "b", F.coalesce(ratio(F.col("dot"), F.col("na") * F.col("nb")), F.lit(0.0)).alias("sim"))
+    return rows.join(norms, "user").select("user", "item", F.coalesce(ratio(F.col("c"), F.col("norm")), F.lit(0.0)).alias("c"))
+
+
+def user_cosine(train: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """a < b, sim: cosine of users' centred rows, over co-rated items with norms over all items.
+
+    Pairs without a co-rated item are absent (0); a user whose ratings are all equal has 0. With
+    ``pairs`` (a, b) only those are evaluated: each meets the ratings of its first user, then those
+    of its second at the same items, so that work grows with the pairs asked for and not with the
+    square of an item's raters.
+    """
+    rows = directions(train)
+    if pairs is None:
+        met = meetings(rows, "item", "user", "c")
+    else:
+        left, right = rows.select(F.col("user").alias("a"), "item", F.col("c").alias("x")), rows.select(F.col("user").alias("b"), "item", F.col("c").alias("y"))
+        met = pairs.select("a", "b").distinct().join(left, "a").join(right, ["b", "item"])
+    return met.groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("sim"))
+
+
+def pairs_are_fewer(train: DataFrame, test: DataFrame) -> bool:
+    """Whether the pairs of a test user and a rater, each with the user's ratings, are fewer rows than all pairs of raters of an item."""
+    raters = train.groupBy("item").agg(F.count("*").cast("double").alias("n"))
+    every = raters.agg(F.sum(F.col("n") * F.col("n") / 2)).first()[0] or 0
+    asked = test.join(raters, "item").join(train.groupBy("user").agg(F.count("*").cast("double").alias("own")), "user").agg(F.sum(F.col("n") * F.col("own"))).first()[0] or 0
+    return asked < every
 
 
 def nearest(candidates: DataFrame, k: int = 5, skip_top: int = 1) -> DataFrame:
@@ -50,12 +88,16 @@ def _combine(test: DataFrame, chosen: DataFrame, means: DataFrame, key: str) ->
     return out.select("user", "item", "rating", F.when(moved.isNotNull(), clamp(F.col("mean") + moved)).otherwise(F.col("mean")).alias("prediction"))
 
 
-def user_candidates(train: DataFrame, test: DataFrame, sims: DataFrame) -> DataFrame:
-    """user, item, neighbour, sim, c: raters of the item, with 0 where users have no co-rated item."""
-    means = train.groupBy("user").agg(F.avg("rating").alias("mean"))
-    rows = train.join(means, "user").select(F.col("user").alias("neighbour"), "item", (F.col("rating") - F.col("mean")).alias("c"))
+def user_candidates(train: DataFrame, test: DataFrame, sims: DataFrame | None = None) -> DataFrame:
+    """user, item, neighbour, sim, c: raters of the item, with 0 where users have no co-rated item.
+
+    Without ``sims``, cosines are computed: of these pairs alone where counts say that it is less
+    work than those of all co-raters. Both ways give the same rows.
+    """
+    rows = centred_rows(train).select(F.col("user").alias("neighbour"), "item", "c")
     pairs = test.select("user", "item").join(rows, "item").where("user <> neighbour")
     keyed = pairs.withColumn("a", F.least("user", "neighbour")).withColumn("b", F.greatest("user", "neighbour"))
+    sims = user_cosine(train, keyed if pairs_are_fewer(train, test) else None) if sims is None else sims
     return keyed.join(sims, ["a", "b"], "left").select("user", "item", "neighbour", F.coalesce("sim", F.lit(0.0)).alias("sim"), "c")
 
 
@@ -63,10 +105,25 @@ def predict_user_based(train: DataFrame, test: DataFrame, k: int = 5, skip_top:
     """user, item, rating, prediction for warm test rows: the user's mean moved by neighbours' centred ratings."""
     test = warm(test, train)
     means = train.groupBy("user").agg(F.avg("rating").alias("mean"))
-    chosen = nearest(user_candidates(train, test, user_cosine(train)), k, skip_top)
+    chosen = nearest(user_candidates(train, test), k, skip_top)
     return _combine(test, chosen, means, "user")
 
 
+def item_similarities(train: DataFrame, test: DataFrame, threshold: float) -> DataFrame:
+    """a < b, sim of at least ``threshold``: Jaccard similarities of raters' sets, of pairs with an item of ``test``.
+
+    Common raters are counted by one join on users and a hash aggregate: at low thresholds, where
+    prefixes are nearly whole sets, that is less than a join by prefixes and a check of each pair.
+    """
+    rated = train.select("user", "item").distinct()
+    sizes = rated.groupBy("item").agg(F.count("*").alias("n"))
+    wanted = test.select("item").distinct().withColumn("asked", F.lit(True))
+    rows = rated.join(wanted, "item", "left").select("user", "item", F.coalesce("asked", F.lit(False)).alias("asked"))
+    common = meetings(rows, "user", "item", "asked").where("x or y").groupBy("a", "b").agg(F.count("*").alias("c"))
+    both = common.join(sizes.select(F.col("item").alias("a"), F.col("n").alias("m")), "a").join(sizes.select(F.col("item").alias("b"), "n"), "b")
+    return both.select("a", "b", (F.col("c") / (F.col("m") + F.col("n") - F.col("c"))).alias("sim")).where(F.col("sim") >= threshold)
+
+
 def item_candidates(train: DataFrame, test: DataFrame, sims: DataFrame) -> DataFrame:
     """user, item, neighbour, sim, c: the user's items that have a stored similarity with the item."""
     means = train.groupBy("item").agg(F.avg("rating").alias("mean"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -13,7 +14,12 @@ from ..functions.expressions import band_bucket, min_hashes
 
 @dataclass(frozen=True)
 class LshParams:
-    """Fixed values of the hash family: h_j(row) = (multiplier * row + j) % modulus, and of the bands."""
+    """Values of the hash family: h_j(row) = (multiplier * row + j) % modulus, and of the bands.
+
+    The defaults are fixed values, for parity: with them every residue is met once sets have some
+    hundred elements of a large universe, and unlike sets share buckets. :meth:`sized` fits the
+    family to the number of rows, with independent hashes and as many buckets as 64 bits give.
+    """
 
     hashes: int = 400
     bands: int = 40
@@ -26,15 +32,32 @@ class LshParams:
         if self.bands * len(self.weights) != self.hashes:
             raise ValueError("bands x rows must be the number of hashes")
 
+    @staticmethod
+    def sized(bands: int = 40, rows: int = 5) -> "LshParams":
+        """Independent 64-bit hashes (modulus 0), for universes of any size."""
+        return LshParams(hashes=bands * rows, bands=bands, multiplier=1, modulus=0, buckets=0, weights=(1,) * rows)
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder, or persisted where the session names none."""
+    spark = df.sparkSession
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
+    path = f"{folder.rstrip('/')}/ranks-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
 
 def dense_ranks(df: DataFrame, column: str) -> DataFrame:
     """Distinct values of ``column`` with ``rank`` from 0 in ascending order.
 
     Values are dealt by ranges and numbered within; only the partitions' sizes reach the driver, so
-    no single task sorts them all.
+    no single task sorts them all. The numbers are written to the shared folder (``spark.checkpoint.dir``)
+    where it is set, so that a lost executor cannot have ranges dealt anew; else they are persisted.
     """
     parts = df.select(column).where(F.col(column).isNotNull()).distinct().repartitionByRange(column).sortWithinPartitions(column)
-    marked = parts.select(column, F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("at")).persist(StorageLevel.MEMORY_AND_DISK)
+    marked = durable(parts.select(column, F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("at")))
     before, offsets = 0, []
     for row in marked.groupBy("part").count().orderBy("part").collect():
         offsets.append((row["part"], before))
@@ -45,28 +68,53 @@ def dense_ranks(df: DataFrame, column: str) -> DataFrame:
 
 def signatures(sets: DataFrame, params: LshParams = LshParams()) -> DataFrame:
     """id, signature for sets (id, element)."""
+    if not params.modulus:
+        return independent_signatures(sets, params.hashes)
     ranked = sets.distinct().join(dense_ranks(sets, "element"), "element")
     rows = ranked.groupBy("id").agg(F.collect_set("rank").alias("rows"))
     return rows.select("id", min_hashes(F.col("rows"), params.hashes, params.multiplier, params.modulus).alias("signature"))
 
 
+def independent_signatures(sets: DataFrame, hashes: int) -> DataFrame:
+    """id, signature: the least of ``hashes`` seeded 64-bit hashes of a set's elements; no ranks are needed."""
+    rows = sets.distinct().groupBy("id").agg(F.collect_set(F.xxhash64("element")).alias("rows"))
+    least = F.transform(F.sequence(F.lit(1), F.lit(hashes)), lambda j: F.array_min(F.transform("rows", lambda r: F.xxhash64(r, j))))
+    return rows.select("id", least.alias("signature"))
+
+
 def buckets(signed: DataFrame, params: LshParams = LshParams()) -> DataFrame:
     """id, band, bucket for every band of a signature."""
+    if not params.buckets:
+        rows = len(params.weights)
+        bands = F.transform(F.sequence(F.lit(0), F.lit(params.bands - 1)), lambda b: F.xxhash64(F.slice("signature", b * rows + 1, rows)))
+        return signed.select("id", F.posexplode(bands).alias("band", "bucket"))
     hashed = F.transform(F.sequence(F.lit(0), F.lit(params.bands - 1)), lambda b: band_bucket(F.col("signature"), b, list(params.weights), params.buckets))
     return signed.select("id", F.posexplode(hashed).alias("band", "bucket"))
 
 
-def candidates(bucketed: DataFrame) -> DataFrame:
-    """a < b: pairs that share a bucket in a band or more."""
-    left = bucketed.select(F.col("id").alias("a"), "band", "bucket")
-    right = bucketed.select(F.col("id").alias("b"), "band", "bucket")
-    return left.join(right, ["band", "bucket"]).where("a < b").select("a", "b").distinct()
+def candidates(bucketed: DataFrame, block: int = 5_000) -> DataFrame:
+    """a < b: pairs that share a bucket in a band or more.
+
+    Buckets of more than ``block`` ids are dealt by hash into blocks, and each pair of blocks is a
+    group of its own, so that no task holds a large bucket.
+    """
+    sizes = bucketed.groupBy("band", "bucket").agg(F.count("*").alias("size")).where("size > 1")
+    cut = bucketed.join(sizes, ["band", "bucket"]).withColumn("cuts", F.ceil(F.col("size") / block).cast("int"))
+    cut = cut.withColumn("own", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int"))
+    spread = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    spread = spread.select("id", "band", "bucket", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    key = ["band", "bucket", "lo", "hi"]
+    left = spread.select(*key, F.col("id").alias("a"), F.col("own").alias("p"))
+    right = spread.select(*key, F.col("id").alias("b"), F.col("own").alias("q"))
+    met = left.join(right, key).where("a < b and (p <> q or lo = hi)")
+    return met.select("a", "b").distinct()
 
 
 def verified(sets: DataFrame, pairs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """a, b, sim for pairs with a Jaccard similarity of at least ``threshold``.
 
-    Elements are compared as 64-bit hashes, so what is shuffled and intersected are longs.
+    Elements are compared as 64-bit hashes, unverified, so what is shuffled and intersected are
+    longs; two elements of a pair's sets are taken for one with a probability of 2 ** -64 each.
     """
     whole = sets.groupBy("id").agg(F.collect_set(F.xxhash64("element")).alias("own"))
     joined = pairs.join(whole.select(F.col("id").alias("a"), F.col("own").alias("x")), "a").join(whole.select(F.col("id").alias("b"), F.col("own").alias("y")), "b")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import aggregates, evaluation, factorisation, itemsets, neighbours, similarity
-from ..sources import sinks, views
+from ..sources import readers, sinks, views
 
 #: Share of baskets that the catalog's supports are: supports themselves are absolute.
 SHARE = 0.004
@@ -25,8 +27,16 @@ def _support(baskets: DataFrame) -> int:
     return max(1, int(baskets.select("basket").distinct().count() * SHARE))
 
 
-def _item_sims(train: DataFrame) -> DataFrame:
-    return similarity.jaccard_exact(train.select(F.col("item").alias("id"), F.col("user").alias("element")), ITEM_SIM)
+def _item_sims(train: DataFrame, test: DataFrame, threshold: float = ITEM_SIM) -> DataFrame:
+    return neighbours.item_similarities(train, neighbours.warm(test, train), threshold)
+
+
+def _scratch(spark: SparkSession) -> str:
+    """A new folder in the shared one (``spark.checkpoint.dir``); a temporary one on a local master without the setting."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{(found or tempfile.mkdtemp()).rstrip('/')}/files-{uuid.uuid4().hex}"
 
 
 def mean_rating_per_item(spark, sf_dir):
@@ -68,7 +78,7 @@ def frequent_itemsets_case2(spark, sf_dir):
 
 def frequent_two_pass(spark, sf_dir):
     baskets = views.brand_baskets(spark, sf_dir)
-    return _named(itemsets.frequent_two_pass(baskets, _support(baskets), 2))
+    return _named(itemsets.frequent_two_pass(baskets, _support(baskets)))
 
 
 def frequent_by_growth(spark, sf_dir):
@@ -76,6 +86,61 @@ def frequent_by_growth(spark, sf_dir):
     return _named(itemsets.frequent_by_growth(baskets, _support(baskets)))
 
 
+def orient_case2(spark, sf_dir):
+    """Parts as baskets of customers, to the empty level: customers who bought at least 8 parts, or 4 in a thousand, in common."""
+    baskets = readers.orient(views.raw_ratings(spark, sf_dir), 2)
+    return _named(itemsets.frequent_itemsets(baskets, max(8, _support(baskets))))
+
+
+def csv_round_trip(spark, sf_dir):
+    """Means by tag written as one CSV file and read again with inferred types."""
+    path = f"{_scratch(spark)}/means.csv"
+    sinks.write_csv_file(mean_rating_per_tag(spark, sf_dir), path, F.desc("tag"))
+    return readers.read_csv(spark, path).select("tag", F.round("rating_avg", 9).alias("rating_avg"))
+
+
+def ratings_round_trip(spark, sf_dir):
+    """Ratings written as CSV text with a header, rows that do not fit among them, read by schema and position."""
+    path = f"{_scratch(spark)}/ratings"
+    rows = views.raw_ratings(spark, sf_dir).select("user", "item", "rating", F.lit(0).alias("ts"))
+    lines = rows.select(F.concat_ws(",", "user", "item", "rating", "ts").alias("value")).union(spark.createDataFrame([("x,y,z,0",), ("1,2,bad,0",)], "value string"))
+    lines.write.text(path)
+    return readers.read_csv(spark, path, readers.RATINGS, header=False, min_partitions=8).select("user", "item", F.round("rating", 9).alias("rating"))
+
+
+def header_by_value(spark, sf_dir):
+    """Lines of a text file but those that equal its first."""
+    path = f"{_scratch(spark)}/lines.csv"
+    sinks.write_csv_file(views.tags(spark, sf_dir).distinct(), path, "item", "tag")
+    cells = F.split("value", ",")
+    return readers.without_header(spark.read.text(path)).select(F.get(cells, F.lit(0)).cast("long").alias("item"), F.get(cells, F.lit(1)).alias("tag"))
+
+
+def test_pairs_round_trip(spark, sf_dir):
+    """Test pairs written twice as CSV and read as a set."""
+    path = f"{_scratch(spark)}/pairs"
+    test = _split(spark, sf_dir)[1].select("user", "item")
+    test.union(test).write.option("header", True).csv(path)
+    return readers.read_test_pairs(spark, path)
+
+
+def triples_round_trip(spark, sf_dir):
+    """Similar pairs written as lines and read again, made symmetric."""
+    path = f"{_scratch(spark)}/pairs.txt"
+    sinks.write_triples(jaccard_exact(spark, sf_dir), path)
+    return readers.read_similarities(spark, path)
+
+
+def itemset_lines(spark, sf_dir):
+    """The file of itemsets, by its usual name: lines that are not empty, and how many are."""
+    baskets = views.brand_baskets(spark, sf_dir)
+    support = _support(baskets)
+    path = sinks.output_name("itemsets", "/data/brands.csv", 1, support, _scratch(spark))
+    sinks.write_itemsets(itemsets.frequent_itemsets(baskets, support), path)
+    lines = spark.read.text(path).withColumn("file", F.regexp_extract(F.input_file_name(), "([^/]+)$", 1))
+    return lines.groupBy("file", F.col("value").alias("line")).agg(F.count("*").alias("n"))
+
+
 def itemset_report(spark, sf_dir):
     baskets = views.brand_baskets(spark, sf_dir)
     return sinks.itemset_report(itemsets.frequent_itemsets(baskets, _support(baskets)))
@@ -120,13 +185,12 @@ def centred_ratings(spark, sf_dir):
 
 
 def user_cosine(spark, sf_dir):
-    return neighbours.user_cosine(_split(spark, sf_dir)[0]).select("a", "b", F.round("sim", 8).alias("sim"))
+    return neighbours.user_cosine(_split(spark, sf_dir)[0]).select("a", "b", (F.round("sim", 8) + 0.0).alias("sim"))
 
 
 def knn_neighbours(spark, sf_dir):
     train, test = _split(spark, sf_dir)
-    test = neighbours.warm(test, train)
-    found = neighbours.nearest(neighbours.user_candidates(train, test, neighbours.user_cosine(train)))
+    found = neighbours.nearest(neighbours.user_candidates(train, neighbours.warm(test, train)))
     return found.select("user", "item", "neighbour", "rank", F.round("sim", 8).alias("sim"))
 
 
@@ -136,7 +200,20 @@ def predict_user_cf(spark, sf_dir):
 
 def predict_item_cf(spark, sf_dir):
     train, test = _split(spark, sf_dir)
-    return neighbours.predict_item_based(train, test, _item_sims(train)).select("user", "item", F.round("prediction", 10).alias("prediction"))
+    return neighbours.predict_item_based(train, test, _item_sims(train, test)).select("user", "item", F.round("prediction", 10).alias("prediction"))
+
+
+def predict_item_cf_half(spark, sf_dir):
+    """As predict_item_cf, from similarities of 0.5 on; on these tables few items or none are that similar."""
+    train, test = _split(spark, sf_dir)
+    return neighbours.predict_item_based(train, test, _item_sims(train, test, 0.5)).select("user", "item", F.round("prediction", 10).alias("prediction"))
+
+
+def dropped_pairs(spark, sf_dir):
+    """Test pairs, among them some of users that no rating has, and how many get no prediction."""
+    train, test = _split(spark, sf_dir)
+    strange = test.where("user % 3 = 0").select((-F.col("user")).alias("user"), "item")
+    return evaluation.dropped(test.select("user", "item").union(strange), neighbours.warm(test, train))
 
 
 def error_histogram(spark, sf_dir):
@@ -153,7 +230,7 @@ def rmse_user_cf(spark, sf_dir):
 
 def rmse_item_cf(spark, sf_dir):
     train, test = _split(spark, sf_dir)
-    return _rounded(evaluation.errors(neighbours.predict_item_based(train, test, _item_sims(train))))
+    return _rounded(evaluation.errors(neighbours.predict_item_based(train, test, _item_sims(train, test))))
 
 
 def predict_als(spark, sf_dir):
@@ -161,6 +238,22 @@ def predict_als(spark, sf_dir):
     return factorisation.predict(factorisation.fit(train), test).select("user", "item", "prediction")
 
 
+def als_scored_pairs(spark, sf_dir):
+    """The pairs that ALS scores, and whether the prediction is within the bounds of a rating."""
+    train, test = _split(spark, sf_dir)
+    found = factorisation.predict(factorisation.fit(train), test)
+    return found.select("user", "item", F.round("rating", 9).alias("rating"), F.col("prediction").between(0.0, 5.0).alias("in_range"))
+
+
+def als_quality(spark, sf_dir):
+    """One row: how many pairs ALS scores, and whether its RMSE is within 1.3 times that of the ratings' mean."""
+    train, test = _split(spark, sf_dir)
+    mean = train.agg(F.avg("rating")).first()[0]
+    found = factorisation.predict(factorisation.fit(train), test)
+    square = lambda x: F.pow(F.col("rating") - x, 2)
+    return found.agg(F.count("*").alias("n"), (F.sqrt(F.avg(square(F.col("prediction")))) <= 1.3 * F.sqrt(F.avg(square(F.lit(mean))))).alias("within"))
+
+
 def rmse_als(spark, sf_dir):
     train, test = _split(spark, sf_dir)
     return _rounded(evaluation.errors(factorisation.predict(factorisation.fit(train), test)))
@@ -168,7 +261,8 @@ def rmse_als(spark, sf_dir):
 
 _NAMES = [
     mean_rating_per_item, mean_rating_per_tag, frequent_singletons, frequent_pairs, frequent_itemsets_case1, frequent_itemsets_case2, frequent_two_pass, frequent_by_growth,
-    itemset_report, jaccard_exact, minhash_signatures, lsh_buckets, lsh_candidates, jaccard_lsh, train_test_split, user_means, item_means, centred_ratings, user_cosine,
+    orient_case2, csv_round_trip, ratings_round_trip, header_by_value, test_pairs_round_trip, triples_round_trip, itemset_lines, predict_item_cf_half, dropped_pairs,
+    als_scored_pairs, als_quality, itemset_report, jaccard_exact, minhash_signatures, lsh_buckets, lsh_candidates, jaccard_lsh, train_test_split, user_means, item_means, centred_ratings, user_cosine,
     knn_neighbours, predict_user_cf, predict_item_cf, error_histogram, rmse_user_cf, rmse_item_cf, predict_als, rmse_als,
 ]
 
@@ -191,6 +285,10 @@ _LEVELS = {
 }
 
 
+_LINES = f"""l as (select * from ({_LEVELS[1]} union all {_LEVELS[2]} union all {_LEVELS[3]} union all {_LEVELS[4]}), s where n >= support),
+lines as (select cast(k as integer) as k, string_agg('(' || concat_ws(', ', i1, i2, i3, i4) || ')', ', ' order by i1, i2, i3, i4) as line from l group by k)"""
+
+
 def _levels(*ks: int) -> str:
     return "select concat_ws(',', i1, i2, i3, i4) as items, cast(k as integer) as k, n from (" + " union all ".join(_LEVELS[k] for k in ks) + "), s where n >= support"
 
@@ -223,10 +321,11 @@ near as (select * from ranked where rank between 2 and 6),
 sums as (select "user", item, sum(sim * c) / nullif(sum(sim), 0) as moved from near group by all),
 pred as (select w."user", w.item, w.rating, case when moved is not null then greatest(0, least(5, mean + moved)) else mean end as prediction
   from warm w join means using ("user") left join sums on sums."user" = w."user" and sums.item = w.item)"""
-_ITEM = f"""{_RATINGS},
+def _item_sql(least: float) -> str:
+    return f"""{_RATINGS},
 sets as (select item as id, "user" as element from train),
 {_JACCARD},
-both_ways as (select a as item, b as neighbour, sim from pairs where sim >= {ITEM_SIM} union all select b, a, sim from pairs where sim >= {ITEM_SIM}),
+both_ways as (select a as item, b as neighbour, sim from pairs where sim >= {least} union all select b, a, sim from pairs where sim >= {least}),
 means as (select item, avg(rating) as mean from train group by 1),
 c as (select "user", item, rating - mean as c from train join means using (item)),
 warm as (select * from test where "user" in (select "user" from train) and item in (select item from train)),
@@ -235,6 +334,9 @@ ranked as (select *, row_number() over (partition by "user", item order by round
 sums as (select "user", item, sum(sim * c) / nullif(sum(sim), 0) as moved from ranked where rank between 2 and 6 group by all),
 pred as (select w."user", w.item, w.rating, case when moved is not null then greatest(0, least(5, mean + moved)) else mean end as prediction
   from warm w join means using (item) left join sums on sums."user" = w."user" and sums.item = w.item)"""
+
+
+_ITEM = _item_sql(ITEM_SIM)
 _ERRORS = "select count(*) as n, round(avg((rating - prediction) ** 2), 6) as mse, round(sqrt(avg((rating - prediction) ** 2)), 6) as rmse from pred"
 
 
@@ -248,11 +350,48 @@ select tag, avg(rating) as rating_avg from raw join tags using (item) group by t
         "frequent_pairs": f"with {_BASKETS} {_levels(2)}",
         "frequent_itemsets_case1": f"with {_BASKETS} {_levels(1, 2, 3, 4)}",
         "frequent_itemsets_case2": f"with {_DAYS} {_levels(1, 2, 3)}",
-        "frequent_two_pass": f"with {_BASKETS} {_levels(2)}",
+        "frequent_two_pass": f"with {_BASKETS} {_levels(1, 2, 3, 4)}",
         "frequent_by_growth": f"with {_BASKETS} {_levels(1, 2, 3, 4)}",
-        "itemset_report": f"""with {_BASKETS},
-l as (select * from ({_LEVELS[1]} union all {_LEVELS[2]}), s where n >= support)
-select cast(k as integer) as k, string_agg('(' || concat_ws(', ', i1, i2) || ')', ', ' order by i1, i2) as line from l group by k""",
+        "itemset_report": f"""with {_BASKETS}, {_LINES}
+select k, line from lines""",
+        "itemset_lines": f"""with {_BASKETS}, {_LINES},
+every as (select line from lines union all select '' from lines)
+select 'itemsets_brands.case1-' || any_value(support) || '.txt' as file, line, count(*) as n from every, s group by line""",
+        "orient_case2": f"""with {_RATINGS},
+b as (select distinct item as basket, "user" as item from raw),
+s as (select greatest(8, cast(floor(count(distinct basket) * {SHARE}) as bigint)) as support from b),
+l1 as (select item as i1, count(*) as n from b, s group by item, support having count(*) >= support),
+h1 as (select basket, item as i1 from b where item in (select i1 from l1)),
+g2 as (select x.basket, x.i1, y.i1 as i2 from h1 x join h1 y on x.basket = y.basket and x.i1 < y.i1),
+l2 as (select i1, i2, count(*) as n from g2, s group by i1, i2, support having count(*) >= support),
+h2 as (select g2.* from g2 join l2 using (i1, i2)),
+g3 as (select x.basket, x.i1, x.i2, y.i2 as i3 from h2 x join h2 y on x.basket = y.basket and x.i1 = y.i1 and x.i2 < y.i2),
+l3 as (select i1, i2, i3, count(*) as n from g3, s group by i1, i2, i3, support having count(*) >= support),
+h3 as (select g3.* from g3 join l3 using (i1, i2, i3)),
+g4 as (select x.basket, x.i1, x.i2, x.i3, y.i3 as i4 from h3 x join h3 y on x.basket = y.basket and x.i1 = y.i1 and x.i2 = y.i2 and x.i3 < y.i3),
+l4 as (select i1, i2, i3, i4, count(*) as n from g4, s group by i1, i2, i3, i4, support having count(*) >= support),
+h4 as (select g4.* from g4 join l4 using (i1, i2, i3, i4)),
+g5 as (select x.basket, x.i1, x.i2, x.i3, x.i4, y.i4 as i5 from h4 x join h4 y on x.basket = y.basket and x.i1 = y.i1 and x.i2 = y.i2 and x.i3 = y.i3 and x.i4 < y.i4),
+l5 as (select i1, i2, i3, i4, i5, count(*) as n from g5, s group by i1, i2, i3, i4, i5, support having count(*) >= support)
+select concat_ws(',', i1) as items, cast(1 as integer) as k, n from l1 union all select concat_ws(',', i1, i2), 2, n from l2 union all select concat_ws(',', i1, i2, i3), 3, n from l3
+union all select concat_ws(',', i1, i2, i3, i4), 4, n from l4 union all select concat_ws(',', i1, i2, i3, i4, i5), 5, n from l5""",
+        "csv_round_trip": f"""with {_RATINGS},
+tags as (select p_partkey as item, unnest([p_type, p_brand] || string_split(p_name, ' ')) as tag from part)
+select tag, round(avg(rating), 9) as rating_avg from raw join tags using (item) group by tag""",
+        "ratings_round_trip": f"""with {_RATINGS} select "user", item, round(rating, 9) as rating from raw""",
+        "header_by_value": "select distinct p_partkey as item, unnest([p_type, p_brand] || string_split(p_name, ' ')) as tag from part",
+        "test_pairs_round_trip": f"""with {_RATINGS} select "user", item from test""",
+        "triples_round_trip": f"with {_TOKENS}, {_JACCARD}, near as (select * from pairs where sim >= 0.5) select a, b, sim from near union all select b, a, sim from near",
+        "predict_item_cf_half": f"""with {_item_sql(0.5)} select "user", item, round(prediction, 10) as prediction from pred""",
+        "dropped_pairs": f"""with {_RATINGS},
+asked as (select "user", item from test union select -"user", item from test where "user" % 3 = 0),
+warm as (select "user", item from test where "user" in (select "user" from train) and item in (select item from train))
+select count(*) as pairs, cast(sum(case when w."user" is null then 1 else 0 end) as bigint) as dropped
+from asked left join warm w on asked."user" = w."user" and asked.item = w.item""",
+        "als_scored_pairs": f"""with {_RATINGS}
+select "user", item, round(rating, 9) as rating, true as in_range from test where "user" in (select "user" from train) and item in (select item from train)""",
+        "als_quality": f"""with {_RATINGS}
+select count(*) as n, true as within from test where "user" in (select "user" from train) and item in (select item from train)""",
         "jaccard_exact": f"with {_TOKENS}, {_JACCARD} select a, b, sim from pairs where sim >= 0.5",
         "minhash_signatures": f"with {_SIGNED} select id, array_to_string(signature, ',') as signature from signed",
         "lsh_buckets": f"with {_BANDS} select id, band, bucket from bands",
@@ -264,7 +403,7 @@ select a, b, sim from pairs join near using (a, b) where sim >= 0.5""",
         "user_means": f"""with {_RATINGS} select "user", round(avg(rating), 9) as mean from train group by 1""",
         "item_means": f"with {_RATINGS} select item, round(avg(rating), 9) as mean from train group by 1",
         "centred_ratings": f"""with {_RATINGS} select "user", item, round(rating - avg(rating) over (partition by "user"), 9) + 0.0 as c from train""",
-        "user_cosine": f"with {_USER} select a, b, round(sim, 8) as sim from sims",
+        "user_cosine": f"with {_USER} select a, b, round(sim, 8) + 0.0 as sim from sims",
         "knn_neighbours": f"""with {_USER} select "user", item, neighbour, cast(rank as integer) as rank, round(sim, 8) as sim from near""",
         "predict_user_cf": f"""with {_USER} select "user", item, round(prediction, 10) as prediction from pred""",
         "predict_item_cf": f"""with {_ITEM} select "user", item, round(prediction, 10) as prediction from pred""",

@@ -46,16 +46,25 @@ def test_itemsets_equal_brute_force(spark):
         want = brute_itemsets(baskets, support)
         assert {tuple(r["items"]): r["n"] for r in itemsets.frequent_itemsets(frame, support).collect()} == want
         assert {tuple(r["items"]): r["n"] for r in itemsets.frequent_by_growth(frame, support).collect()} == want
-        for k in (1, 2, 3):
-            assert {tuple(r["items"]): r["n"] for r in itemsets.frequent_two_pass(frame, support, k).collect()} == {c: n for c, n in want.items() if len(c) == k}
+        assert {tuple(r["items"]): r["n"] for r in itemsets.frequent_two_pass(frame, support, block=7).collect()} == want
+    assert {tuple(r["items"]) for r in itemsets.frequent_two_pass(frame, 6, 2).collect()} == {c for c in brute_itemsets(baskets, 6) if len(c) <= 2}
+
+
+def test_levels_of_a_partition_are_pruned():
+    rows = [{1, 2, 3}, {1, 2}, {1, 3}, {4}]
+    assert itemsets.partition_levels(rows, 2) == [(1,), (2,), (3,), (1, 2), (1, 3)]
+    assert itemsets.partition_candidates(rows, 3, 1, {(1, 2), (1, 3)}) == set()
+    assert itemsets.partition_candidates(rows, 3, 1, {(1, 2), (1, 3), (2, 3)}) == {(1, 2, 3)}
 
 
 def test_itemsets_without_a_frequent_item_and_at_the_support(spark):
     frame = spark.createDataFrame([(1, 1), (2, 1), (2, 2)], "basket long, item long")
     assert itemsets.frequent_itemsets(frame, 3).count() == 0
     assert rows_of(itemsets.frequent_itemsets(frame, 2)) == [([1], 1, 2)]
-    with pytest.raises(ValueError):
-        itemsets.frequent_itemsets(frame, 0)
+    assert rows_of(itemsets.frequent_two_pass(frame, 2)) == [([1], 1, 2)] and itemsets.frequent_two_pass(frame.limit(0), 1).count() == 0
+    for miner in (itemsets.frequent_itemsets, itemsets.frequent_two_pass):
+        with pytest.raises(ValueError):
+            miner(frame, 0)
 
 
 def test_orientation(spark):
@@ -128,6 +137,42 @@ def test_user_based_prediction_equals_dense_evaluation(spark, skip):
     assert got == pytest.approx(want)
 
 
+def test_cosines_of_listed_pairs_and_split_items(spark):
+    r = random.Random(9)
+    rated = spark.createDataFrame([(u, i, float(r.randrange(6))) for u in range(25) for i in r.sample(range(12), 6)], "user long, item long, rating double")
+    close = lambda df: {(a, b): pytest.approx(sim, abs=1e-12) for a, b, sim in rows_of(df)}
+    every = close(neighbours.user_cosine(rated))
+    asked = spark.createDataFrame([(a, b) for a, b in every if (a + b) % 3], "a long, b long")
+    assert close(neighbours.user_cosine(rated, asked)) == {k: v for k, v in every.items() if sum(k) % 3}
+    split = neighbours.meetings(neighbours.directions(rated), "item", "user", "c", block=4)
+    assert close(split.groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")))) == every
+    test = rated.where("user < 4")
+    assert sorted(rows_of(neighbours.user_candidates(rated, test).select("user", "item", "neighbour"))) == sorted(rows_of(neighbours.user_candidates(rated, test, neighbours.user_cosine(rated)).select("user", "item", "neighbour")))
+    assert neighbours.pairs_are_fewer(rated, test.limit(0)) and not neighbours.pairs_are_fewer(rated, rated)
+
+
+def test_item_similarities_equal_the_join_by_prefixes(spark):
+    r = random.Random(11)
+    rated = spark.createDataFrame([(u, i, 1.0) for u in range(30) for i in r.sample(range(15), r.randrange(1, 7))], "user long, item long, rating double")
+    exact = rows_of(similarity.jaccard_exact(rated.select(F.col("item").alias("id"), F.col("user").alias("element")), 0.2))
+    assert sorted(rows_of(neighbours.item_similarities(rated, rated, 0.2))) == sorted(exact) and exact
+    assert sorted(rows_of(neighbours.item_similarities(rated, rated.where("item = 3"), 0.2))) == sorted(x for x in exact if 3 in x[:2])
+
+
+def test_large_buckets_are_cut_and_hashes_independent(spark):
+    r = random.Random(13)
+    rows = [(i, b, r.randrange(3)) for i in range(60) for b in range(2)]
+    frame = spark.createDataFrame(rows, "id long, band int, bucket long")
+    want = {(x[0], y[0]) for x in rows for y in rows if x[0] < y[0] and x[1:] == y[1:]}
+    assert set(rows_of(similarity.candidates(frame, block=5))) == set(rows_of(similarity.candidates(frame))) == want
+    base = [[f"w{r.randrange(4_000)}" for _ in range(50)] for _ in range(40)]
+    sets = [(i, w) for i, own in enumerate(base + [x[:48] + ["new", "other"] for x in base[:20]]) for w in set(own)]
+    frame = spark.createDataFrame(sets, "id long, element string")
+    params = similarity.LshParams.sized()
+    assert sorted(rows_of(similarity.jaccard_lsh(frame, 0.8, params))) == sorted(rows_of(similarity.jaccard_exact(frame, 0.8)))
+    assert similarity.candidates(similarity.buckets(similarity.signatures(frame, params), params)).count() < 100
+
+
 def test_neighbour_ranks_drop_the_nearest_and_break_ties(spark):
     rows = [(1, 1, n, s, 0.0) for n, s in [(5, 0.9), (4, 0.9), (3, 0.5), (2, -0.1), (9, 0.0), (8, 0.0), (7, 0.0), (6, 0.4)]] + [(2, 1, 3, 0.7, 0.0)]
     found = neighbours.nearest(spark.createDataFrame(rows, "user long, item long, neighbour long, sim double, c double"))
@@ -198,9 +243,67 @@ def test_text_sinks(spark, tmp_path):
     sinks.write_csv_file(spark.createDataFrame([("a", 1.0), ("b", 2.0)], "tag string, rating_avg double"), f"{tmp_path}/o.csv", F.desc("tag"))
     assert open(f"{tmp_path}/o.csv").read() == "tag,rating_avg\nb,2.0\na,1.0\n"
     assert [f for f in os.listdir(tmp_path) if "tmp-" in f] == []
+    assert [f for f in os.listdir(tmp_path) if ".old-" in f] == []
     assert sinks.output_name("app", "/x/Small2.csv", 1, 3, "out") == "out/app_Small2.case1-3.txt"
 
 
+def test_a_move_that_fails_keeps_the_output_and_the_older_file(spark, tmp_path):
+    frame = spark.createDataFrame([("new",)], "line string")
+    sinks.write_text_file(frame, f"{tmp_path}/missing/folder/o.txt", "line")  # the parent is made
+    assert open(f"{tmp_path}/missing/folder/o.txt").read() == "new\n"
+    blocked = tmp_path / "file"
+    blocked.write_text("x")
+    with pytest.raises(Exception):
+        sinks.write_text_file(frame, f"{blocked}/o.txt", "line")
+    assert blocked.read_text() == "x"
+    path = tmp_path / "old.txt"
+    path.write_text("old")
+    frame.coalesce(1).write.text(f"{tmp_path}/parts")
+    part = next(f for f in os.listdir(f"{tmp_path}/parts") if f.startswith("part-"))
+    os.makedirs(f"{tmp_path}/parts2")
+    os.symlink("/nonexistent", f"{tmp_path}/parts2/{part}")  # a source that cannot be moved
+    with pytest.raises(Exception):
+        sinks._promote(spark, f"{tmp_path}/parts2", str(path))
+    assert path.read_text() == "old" and os.path.lexists(f"{tmp_path}/parts2/{part}")
+
+
+def test_many_rows_are_written_as_a_folder_in_order(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "SINGLE", 3)
+    path = f"{tmp_path}/many"
+    sinks.write_text_file(spark.createDataFrame([(f"{i:02}",) for i in range(20)], "line string").repartition(4), path, "line")
+    lines = [x for f in sorted(os.listdir(path)) if f.startswith("part-") for x in open(f"{path}/{f}").read().split()]
+    assert lines == [f"{i:02}" for i in range(20)]
+
+
+def test_programs(spark, tmp_path, capsys):
+    from tarnrank import __main__ as programs
+
+    r = random.Random(3)
+    rated = [(u, i, r.randrange(1, 6), 0) for u in range(12) for i in r.sample(range(8), 5)]
+    (tmp_path / "ratings.csv").write_text("userId,movieId,rating,timestamp\n" + "".join(f"{u},{i},{x}.0,{t}\n" for u, i, x, t in rated))
+    (tmp_path / "tags.csv").write_text("userId,movieId,tag,timestamp\n" + "".join(f"1,{i},t{i % 2},0\n" for i in range(8)))
+    pairs = [x[:2] for x in rated if x[0] % 4 == 0 and x[1] % 2] + [(99, 1)]
+    (tmp_path / "pairs.csv").write_text("userId,movieId\n" + "".join(f"{u},{i}\n" for u, i in pairs))
+    at = lambda name: str(tmp_path / name)
+    run = lambda *a: (programs.main([str(x) for x in a]), capsys.readouterr().out)[1]
+    assert "Time: " in run("mean-by-item", at("ratings.csv"), at("items.csv"))
+    lines = open(at("items.csv")).read().split()
+    assert lines[0] == "item,rating_avg" and len(lines) == 9
+    run("mean-by-tag", at("ratings.csv"), at("tags.csv"), at("tagged.csv"))
+    assert [x.split(",")[0] for x in open(at("tagged.csv")).read().split()] == ["tag", "t1", "t0"]
+    for case, method in ((1, "levels"), (2, "two-pass")):
+        run("itemsets", case, at("ratings.csv"), 4, "--folder", at("out"), "--method", method)
+        want = brute_itemsets([(x[0], x[1]) if case == 1 else (x[1], x[0]) for x in rated], 4)
+        first = open(f"{at('out')}/itemsets_ratings.case{case}-4.txt").read().split("\n")[0]
+        assert first == ", ".join(f"({c[0]})" for c in sorted(want) if len(c) == 1)
+    assert "|sim" in run("--preview", 2, "similar-items", at("ratings.csv"), at("similar.txt"), "--threshold", 0.3, "--method", "exact")
+    for program, extra in (("predict-users", []), ("predict-items", [at("similar.txt")]), ("predict-factors", [])):
+        out = run(program, at("ratings.csv"), at("pairs.csv"), *extra, at(f"{program}.txt"))
+        assert "RMSE: " in out and "Dropped test pairs: 1" in out and len(open(at(f"{program}.txt")).read().split("\n")) == len(pairs)
+    with pytest.raises(SystemExit):
+        programs.main(["itemsets", "3", "x", "1"])
+
+
 @pytest.fixture(scope="module")
 def brands_dir(spark, tmp_path_factory):
     """Two orders, one of three brands and one of two of them: the support is 1."""
