@@ -3,11 +3,14 @@
 Candidate spans come from regular expressions, a superset of the four base forms. Labelers (strict
 form, gazetteer, words before, words around, checksum and range, boundary) vote on each: yes, no or
 nothing. Expectation-maximisation over the counts of vote patterns estimates each labeler's
-reliability by kind and a probability for each pattern, and a logistic span classifier is trained on
-those. A candidate of a base form always stays; others stay if the classifier says so and
-no checksum or range speaks against them.
+reliability by kind and a probability for each pattern. A logistic span classifier is trained on
+those with features of the span and its context that no labeler reads (length, digits, parts, capitals,
+what stands next to it, the line it is on), so it also tells apart candidates with the same votes.
+A candidate of a base form always stays; others stay if the classifier says so and no checksum or
+range speaks against them. Added spans have no greatest length.
 
-The driver sees vote patterns and their counts: at most 3 ** 6 for each kind, whatever the corpus.
+The driver sees patterns of votes and features and their counts: at most 3 ** 6 x 3 ** 6 for each
+kind, whatever the corpus. Counts are taken as shares, so that a model does not depend on size.
 
 Rows: null text is the empty text and has no spans; repeated rows count and are returned each time;
 null ids are kept. Whole texts are searched. Columns other than the two named are dropped. Where a
@@ -27,19 +30,34 @@ from .spans import joined, with_spans
 BASE = ["email", "ip", "card", "phone"]
 KINDS = [*BASE, "ssn", "name"]
 LABELERS = ["form", "gazetteer", "before", "around", "check", "edge"]
+#: Features, each 0, 1 or 2.
+FEATURES = ["length", "digits", "parts", "capitals", "next", "line"]
 
 _LOCAL = "[A-Za-z0-9._%+-]"
+_TITLE = "Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Mlle|Sr|Sra"
+#: Common given names and endings of domains.
+GIVEN = """
+Adam Alice Amy Andrea Andrew Angela Anna Anne Anthony Antonio Barbara Benjamin Betty Brian Camille Carlos Carmen Carol Catherine Charles Christian
+Christine Christopher Claire Claudia Daniel David Deborah Diego Dietmar Donald Donna Dorothy Edward Elena Elizabeth Emily Emma Eric Eva Francisco
+Frank Gary George Hans Helen Henry Isabel Jack Jacob James Jan Jason Javier Jean Jeffrey Jennifer Jessica Joan John Jonathan Jorge Joseph Joshua Juan
+Julia Julie Karen Karin Karl Kathleen Kenneth Kevin Kimberly Klaus Larry Laura Laurent Lisa Linda Louis Lucas Luis Manuel Marc Margaret Maria Marie
+Mark Martin Mary Matthew Melissa Michael Michelle Miguel Monika Nancy Nathalie Nicholas Nicole Olivia Pablo Pamela Patricia Patrick Paul Pedro Peter
+Philippe Pierre Rachel Raymond Rebecca Richard Robert Ronald Rosa Ruth Ryan Samantha Samuel Sandra Sarah Scott Sharon Silvia Simon Sophia Sophie
+Stefan Stephanie Stephen Steven Susan Sylvie Theresa Thomas Timothy Ursula Victor Virginia Walter William Wolfgang
+""".split()
+DOMAINS = "com org net edu gov mil int io dev app info biz ai co me de fr es uk eu it nl be at ch pt pl se no dk fi ie cz ru ua tr in cn jp kr au nz ca us mx br ar cl".split()
+_GIVEN = "|".join(GIVEN)
 #: Patterns of candidates, (kind, pattern, clue that a text with one must match).
 CANDIDATES = [
     ("email", rf"(?:(?<!{_LOCAL})|\G){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@"),
     ("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", ""),
     ("card", r"[0-9](?:[\x20-]?[0-9]){13,}+", ""),
     ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]"),
-    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{2,40}+\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]{2,40}+\x20?[\[(]dot[\])]\x20?[A-Za-z]{2,10}+", r"[\[(]at[\])]"),
+    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{2,}+\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]{2,}+(?:\x20?[\[(]dot[\])]\x20?[A-Za-z0-9-]{2,}+)+", r"[\[(]at[\])]"),
     ("phone", r"(?<![0-9+().-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9-])", ""),
     ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", ""),
-    ("name", r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof)\.?\x20[A-Z][a-z]{1,20}+(?:\x20[A-Z][a-z]{1,20}+)?", r"(?:Mr|Mrs|Ms|Dr|Prof)\.?\x20[A-Z]"),
-    ("name", r"(?<![A-Za-z])(?:James|Mary|John|Linda|Robert|Maria|Michael|Anna|David|Laura|Thomas|Julia|Peter|Sarah|Paul|Emma)\x20[A-Z][a-z]{1,20}+", r"(?:James|Mary|John|Linda|Robert|Maria|Michael|Anna|David|Laura|Thomas|Julia|Peter|Sarah|Paul|Emma)\x20[A-Z]"),
+    ("name", rf"(?<![A-Za-z])(?:{_TITLE})\.?\x20[A-Z][a-z]++(?:\x20[A-Z][a-z]++)?", rf"(?:{_TITLE})\.?\x20[A-Z]"),
+    ("name", rf"(?<![A-Za-z])(?:{_GIVEN})\x20[A-Z][a-z]++", rf"(?:{_GIVEN})\x20[A-Z]"),
 ]
 #: Fixed values by kind: strict form; gazetteer of endings, prefixes and names; words before; words around that speak against.
 FORM = {
@@ -48,15 +66,15 @@ FORM = {
     "card": r"^(?:[0-9]{14,19}|[0-9]{4}(?:[\x20-][0-9]{4}){3})$",
     "phone": r"^\+[0-9]{1,3}[\x20.-]?\(?[0-9]{1,4}\)?(?:[\x20.-]?[0-9]{2,4}){2,4}$",
     "ssn": r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$",
-    "name": r"^(?:Mr|Mrs|Ms|Dr|Prof)\.?\x20[A-Z][a-z]+\x20[A-Z][a-z]+$",
+    "name": rf"^(?:(?:{_TITLE})\.?\x20)?[A-Z][a-z]+\x20[A-Z][a-z]+$",
 }
 GAZETTEER = {
-    "email": r"(?:com|org|net|edu|gov|io|de|fr|es|uk|eu)$",
+    "email": rf"(?i:{'|'.join(DOMAINS)})$",
     "ip": r"^(?:10|127|172|192)\.",
     "card": r"^(?:4|5[1-5]|2[2-7]|3[47]|36|38|6011|65)",
     "phone": r"^\+(?:1|33|34|44|49|39|41|43)(?![0-9]{12})",
     "ssn": r"^[0-7]",
-    "name": r"(?:James|Mary|John|Linda|Robert|Maria|Michael|Anna|David|Laura|Thomas|Julia|Peter|Sarah|Paul|Emma)",
+    "name": rf"(?<![A-Za-z])(?:{_GIVEN})(?![A-Za-z])",
 }
 BEFORE = {
     "email": r"(?:e-?mail|mail|contact|write to|correo|courriel)[^a-z]{0,4}$",
@@ -66,11 +84,12 @@ BEFORE = {
     "ssn": r"(?:ssn|social security)[^a-z]{0,12}$",
     "name": r"(?:name|dear|signed|author|by)[^a-z]{0,4}$",
 }
-AGAINST = r"(?:version|release|isbn|issn|order|invoice|serial|sku|hash|commit|token|id|ref|no|nr|section)[^a-z]{0,4}$"
+AGAINST = r"(?<![a-z])(?:version|release|isbn|issn|order|invoice|serial|sku|hash|commit|token|id|ref|no|nr|section)[^a-z]{0,4}$"
+AFTER = r"^[^a-z]{0,4}(?:items?|pieces|units|pages|euros?|dollars|percent|bytes|street|avenue|inc|ltd|gmbh)(?![a-z])"
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and ``found``: kind, start, end, base (whether a base form), votes (-1, 0, 1 by labeler)."""
+    """id and ``found``: kind, start, end, base (whether a base form), votes (-1, 0, 1 by labeler), features (0, 1, 2)."""
     df = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     names = []
     for i, (kind, pattern, clue) in enumerate(CANDIDATES):
@@ -99,6 +118,7 @@ def _voted(s: Column, kind: str, strict: bool) -> Column:
     value, text = s["value"], F.col("text")
     digits = F.regexp_replace(value, "[^0-9]", "")
     before = F.lower(F.substring(text, F.greatest(F.lit(1), s["start"] - 23), F.least(F.lit(24), s["start"])))
+    following = F.lower(F.substring(text, s["end"] + 1, F.lit(24)))
     after = F.substring(text, s["end"] + 1, F.lit(1))
     n = F.length(digits)
     check = {
@@ -114,12 +134,21 @@ def _voted(s: Column, kind: str, strict: bool) -> Column:
         yes_no(value.rlike(FORM[kind])),
         yes_no(value.rlike(GAZETTEER[kind]), 0),
         yes_no(before.rlike(BEFORE[kind]), 0),
-        F.when(before.rlike(AGAINST), -1).otherwise(0),
+        F.when(before.rlike(AGAINST) | following.rlike(AFTER), -1).otherwise(0),
         yes_no(check) if kind in ("ip", "card", "phone") else F.lit(0),
         yes_no(~before.rlike(r"[a-z0-9_./=-]$") & ~after.rlike(r"[A-Za-z0-9_=/]")),
     ]
-    base = check if strict else F.lit(False)
-    return F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), base.alias("base"), F.array(*[v.cast("tinyint") for v in votes]).alias("votes"))
+    three = lambda x, low, high: F.when(x <= low, 0).when(x <= high, 1).otherwise(2)
+    features = [
+        three(s["end"] - s["start"], *{"email": (14, 24), "ip": (9, 12), "card": (15, 18), "phone": (12, 15), "ssn": (10, 11), "name": (10, 16)}[kind]),
+        three(n, *{"email": (0, 3), "ip": (6, 9), "card": (15, 16), "phone": (10, 12), "ssn": (8, 9), "name": (0, 1)}[kind]),
+        three(F.size(F.split(value, r"[^A-Za-z0-9]+")), 2, 4),
+        three(F.length(F.regexp_replace(value, "[^A-Z]", "")), 0, 2),
+        F.when(following.rlike(r"^[.,;:!?)\]'\"]?(?:\s|$)"), 0).when(following.rlike("^[a-z0-9]"), 2).otherwise(1),
+        F.when(before.rlike(r"(?:^|\n)\s*$"), 0).when(before.rlike(r"[:=(<\"']\s*$"), 1).otherwise(2),
+    ]
+    base, small = check if strict else F.lit(False), lambda xs: F.array(*[x.cast("tinyint") for x in xs])
+    return F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), base.alias("base"), small(votes).alias("votes"), small(features).alias("features"))
 
 
 def _at_most_255(part: Column) -> Column:
@@ -132,13 +161,16 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(each, F.lit(0), lambda a, d: a + d) % 10 == 0
 
 
-def patterns(found: DataFrame) -> list[tuple[str, tuple[int, ...], bool, int]]:
-    """kind, votes, base and how many candidates: pre-aggregated counts over all rows."""
-    rows = found.select(F.explode("found").alias("s")).groupBy("s.kind", "s.votes", "s.base").agg(F.count("*").alias("n")).collect()
-    return sorted((r["kind"], tuple(r["votes"]), r["base"], r["n"]) for r in rows)
+Pattern = tuple[str, tuple[int, ...], tuple[int, ...], bool, int]
+
 
+def patterns(found: DataFrame) -> list[Pattern]:
+    """kind, votes, features, base and how many candidates: pre-aggregated counts over all rows."""
+    rows = found.select(F.explode("found").alias("s")).groupBy("s.kind", "s.votes", "s.features", "s.base").agg(F.count("*").alias("n")).collect()
+    return sorted((r["kind"], tuple(r["votes"]), tuple(r["features"]), r["base"], r["n"]) for r in rows)
 
-def aggregate_votes(counts: list[tuple[str, tuple[int, ...], bool, int]], rounds: int = 50) -> tuple[dict, dict]:
+
+def aggregate_votes(counts: list[Pattern], rounds: int = 50) -> tuple[dict, dict]:
     """Expectation-maximisation by kind: probability by (kind, votes), reliabilities by kind.
 
     Reliabilities are P(vote | truth) for each labeler, smoothed by one count; the start is the
@@ -147,7 +179,7 @@ def aggregate_votes(counts: list[tuple[str, tuple[int, ...], bool, int]], rounds
     chance, reliability = {}, {}
     for kind in sorted({k for k, *_ in counts}):
         merged: dict[tuple[int, ...], int] = {}
-        for k, v, _, n in counts:
+        for k, v, *_, n in counts:
             if k == kind:
                 merged[v] = merged.get(v, 0) + n
         votes, n = np.array(list(merged), int), np.array(list(merged.values()), float)
@@ -162,20 +194,24 @@ def aggregate_votes(counts: list[tuple[str, tuple[int, ...], bool, int]], rounds
     return chance, reliability
 
 
-def train(counts: list[tuple[str, tuple[int, ...], bool, int]], rounds: int = 30) -> dict[str, list[float]]:
-    """Weights by kind of the span classifier: bias, then each labeler's yes and no.
+#: Candidates that a kind's counts are scaled to before training: the weight of the ridge is the same at every size.
+SCALE = 10_000.0
+
 
-    Logistic regression by Newton steps with a unit ridge, on pattern counts and the probabilities
-    of :func:`aggregate_votes`; a base form is positive whatever the votes.
+def train(counts: list[Pattern], rounds: int = 30) -> dict[str, list[float]]:
+    """Weights by kind of the span classifier: bias, each labeler's yes and no, then each feature's 1 and 2.
+
+    Logistic regression by Newton steps with a unit ridge, on the shares of patterns and the
+    probabilities of :func:`aggregate_votes`; a base form is positive whatever the votes.
     """
     chance, _ = aggregate_votes(counts)
     weights = {}
     for kind in sorted({k for k, *_ in counts}):
-        own = [(v, b, n) for k, v, b, n in counts if k == kind]
-        x = np.array([[1, *(float(c == y) for c in v for y in (1, -1))] for v, _, _ in own])
-        y = np.array([1.0 if b else chance[kind, v] for v, b, _ in own])
-        n = np.array([m for _, _, m in own], float)
-        n *= min(1.0, 1e6 / n.sum())
+        own = [(v, f, b, n) for k, v, f, b, n in counts if k == kind]
+        x = np.array([_inputs(v, f) for v, f, _, _ in own])
+        y = np.array([1.0 if b else chance[kind, v] for v, _, b, _ in own])
+        n = np.array([m for *_, m in own], float)
+        n *= SCALE / n.sum()
         w = np.zeros(x.shape[1])
         for _ in range(rounds):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -184,6 +220,10 @@ def train(counts: list[tuple[str, tuple[int, ...], bool, int]], rounds: int = 30
     return weights
 
 
+def _inputs(votes, features) -> list[float]:
+    return [1.0, *(float(c == y) for c in votes for y in (1, -1)), *(float(c == y) for c in features for y in (1, 2))]
+
+
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id and ``found`` (kind, start, end, base), base forms and added spans.
 
@@ -195,7 +235,8 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     def chosen(s: Column) -> Column:
         score = F.lit(-1.0)
         for kind, (bias, *each) in weights.items():
-            terms = [F.when(s["votes"][j] == v, w).otherwise(0.0) for (j, v), w in zip(((j, v) for j in range(len(LABELERS)) for v in (1, -1)), each, strict=True)]
+            inputs = [s["votes"][j] == v for j in range(len(LABELERS)) for v in (1, -1)] + [s["features"][j] == v for j in range(len(FEATURES)) for v in (1, 2)]
+            terms = [F.when(given, w).otherwise(0.0) for given, w in zip(inputs, each, strict=True)]
             score = F.when(s["kind"] == kind, sum(terms, F.lit(bias))).otherwise(score)
         return s["base"] | ((score > 0) & (s["votes"][LABELERS.index("check")] >= 0))
 

@@ -208,16 +208,45 @@ def test_pii(docs):
 
 
 def test_pii_vote_aggregation():
-    counts = [("card", (1, 1, 0, 0, 1, 1), True, 50), ("card", (1, 0, 0, 0, -1, 1), False, 400), ("card", (1, 1, 1, 0, 0, 1), False, 30)]
+    plain = (1, 1, 1, 0, 0, 2)
+    counts = [("card", (1, 1, 0, 0, 1, 1), plain, True, 50), ("card", (1, 0, 0, 0, -1, 1), plain, False, 400), ("card", (1, 1, 1, 0, 0, 1), plain, False, 30)]
     chance, reliability = pii.aggregate_votes(counts)
     assert chance["card", (1, 1, 0, 0, 1, 1)] > 0.9 > 0.1 > chance["card", (1, 0, 0, 0, -1, 1)]
     assert np.allclose(reliability["card"].sum(2), 1)
     w = pii.train(counts)["card"]
-    score = lambda votes: w[0] + sum(w[1 + 2 * j + (v < 0)] for j, v in enumerate(votes) if v)
+    score = lambda votes: float(np.dot(w, pii._inputs(votes, plain)))
     assert score((1, 1, 1, 0, 0, 1)) > 0 > score((1, 0, 0, 0, -1, 1))
+    assert np.allclose(pii.train([(*c[:-1], c[-1] * 10**6) for c in counts])["card"], w, atol=0.05)  # size matters by the one count of smoothing only
+    # with the same votes, features decide
+    split = [("ssn", (1, 1, 0, 0, 0, 1), (1, 1, 1, 0, 0, 1), False, 500), ("ssn", (1, 1, 0, 0, 0, 1), (1, 1, 1, 0, 2, 2), False, 500), ("ssn", (-1, 1, 0, -1, 0, -1), (1, 1, 1, 0, 2, 2), False, 900), ("ssn", (1, 1, 1, 0, 0, 1), (1, 1, 1, 0, 0, 1), False, 900)]
+    w = pii.train(split)["ssn"]
+    assert np.dot(w, pii._inputs(*split[0][1:3])) > np.dot(w, pii._inputs(*split[1][1:3]))
     assert pii.train([]) == {}
 
 
+def test_pii_added_spans_on_planted_data(spark):
+    r = random.Random(8)
+    words = lambda n: " ".join(r.choice(VOCABULARY) for _ in range(n))
+    digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    long = "A" + "bcdefghij" * 12
+    planted, rows = {}, []
+    for i in range(400):
+        kind, value, lead = [
+            ("email", f"{r.choice(['jo', 'ann', 'x.y'])} [at] {r.choice(['mail', 'host'])} [dot] com", "write to "), ("phone", f"(555) {r.randrange(200, 999)}-{digits(4)}", "phone: "),
+            ("ssn", f"{r.randrange(100, 600)}-{r.randrange(10, 99)}-{r.randrange(1000, 9999)}", "SSN "), ("name", f"Dr. {r.choice(['Laura', 'Peter'])} {r.choice(['Ames', 'Brown', long])}", "Dear "),
+        ][i % 4]
+        if i % 3:
+            head = words(6) + " " + lead
+            planted[i] = f"{kind}:{len(head)}:{len(head) + len(value)}"
+            rows.append((i, head + value + ", " + words(4)))
+        else:  # order numbers and the like that have the forms of numbers
+            rows.append((i, words(5) + " " + r.choice(["order no ", "serial ", "ref "]) + f"000-{digits(2)}-0000 " + words(3)))
+    found = {row.doc_id: row.spans for row in pii.digest(pii.detect(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    caught = sum(planted[i] in found[i].split(",") for i in planted)
+    wrong = sum(bool(found[i]) for i in found if i not in planted)
+    assert caught >= 0.95 * len(planted) and wrong <= 0.02 * (len(rows) - len(planted)), (caught, len(planted), wrong)
+
+
 def secrets_in(text):
     any_case = lambda w: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w)
     word = "|".join(map(any_case, ["password", "passwd", "secret", "token"])) + "|" + any_case("api") + "_?" + any_case("key")
