@@ -43,15 +43,14 @@ def frequent_itemsets(baskets: DataFrame, support: int, max_k: int | None = None
     found, held, k = level, pairs.select("basket", F.array("item").alias("items")), 1
     while (max_k is None or k < max_k) and not level.isEmpty():
         k += 1
-        able = level_candidates(level, k)
         grown = held.join(pairs, "basket").where(F.col("item") > F.element_at("items", -1)).select("basket", F.concat("items", F.array("item")).alias("items"))
-        grown = grown.join(able, "items", "left_semi").select("basket", "items")
+        if k > 2:  # all pairs of frequent items are candidates
+            able = level_candidates(level, k).persist(StorageLevel.MEMORY_AND_DISK)
+            if not able.count():
+                break
+            grown = grown.join(able, "items", "left_semi").select("basket", "items")
         level = grown.groupBy("items").agg(F.count("*").alias("n")).where(F.col("n") >= support).select("items", F.lit(k).alias("k"), "n").persist(StorageLevel.MEMORY_AND_DISK)
-        below, held = held, grown.join(level.select("items"), "items", "left_semi").select("basket", "items").persist(StorageLevel.MEMORY_AND_DISK)
-        if not level.isEmpty():
-            held.count()  # what the level below held is then no longer needed
-        if k > 2:
-            below.unpersist()
+        held = grown.join(level.select("items"), "items", "left_semi").select("basket", "items").persist(StorageLevel.MEMORY_AND_DISK)
         found = found.union(level)
     return found
 
