@@ -4,7 +4,9 @@ For templates of T words a text is cut into windows of 2 T words, one every T wo
 T words in a row lie within one. Template and window are sets of five-word shingles. The bands (of
 one MinHash each) are as many as make a window that holds MATCH of a template's shingles share a
 band with it with a probability of at least 1 - MISS; templates so retrieved match if the window
-holds at least MATCH of their shingles, counted exactly.
+holds at least MATCH of their shingles, counted exactly. Templates may be of any length: beside the
+notices below, :func:`read_templates` takes whole texts of licenses from a folder, and
+:func:`clues_for` finds the clue words that they need.
 
 Only texts and windows that hold one of the clue words are hashed: no window without one can hold
 MATCH of any template's shingles, which :func:`clues_suffice` states and a test checks.
@@ -18,7 +20,7 @@ from __future__ import annotations
 import math
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SHINGLE, MATCH, MISS = 5, 0.8, 1e-6
@@ -105,6 +107,28 @@ def clues_suffice(templates=None, clues=None) -> bool:
     return True
 
 
+def clues_for(templates: list[tuple[str, str]]) -> list[str]:
+    """Words without which no template can match, those in most shingles first."""
+    out: list[str] = []
+    for _, text in templates:
+        own = [set(x.split()) for x in shingles_of(words_of(text))]
+        left = [x for x in own if not x & set(out)]
+        while len(left) >= math.ceil(MATCH * len(own)):
+            counts: dict[str, int] = {}
+            for x in left:
+                for w in x:
+                    counts[w] = counts.get(w, 0) + 1
+            out.append(max(sorted(counts), key=lambda w: (counts[w], len(w))))
+            left = [x for x in left if out[-1] not in x]
+    return out
+
+
+def read_templates(spark: SparkSession, folder: str) -> list[tuple[str, str]]:
+    """Whole texts of licenses, (name of the file, text), of a folder that Spark can read; files without words are passed over."""
+    rows = spark.read.text(folder, wholetext=True).select(F.regexp_extract(F.input_file_name(), "([^/]+?)(?:\\.txt)?$", 1).alias("name"), "value").collect()
+    return sorted((r["name"], r["value"]) for r in rows if words_of(r["value"]))
+
+
 def _signature(shingles, bands: int):
     """The least hash of a shingle set under each of ``bands`` seeded hash functions."""
     return F.transform(F.sequence(F.lit(1), F.lit(bands)), lambda i: F.array_min(F.transform(shingles, lambda s: F.xxhash64(i, s))))
@@ -127,7 +151,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
         bands = bands_for(length)
         rows = [(templates[k][0], k, shingles_of(words_of(templates[k][1]))) for k in members]
         known = spark.createDataFrame(rows, "license string, template int, shingles array<string>").withColumn("signature", _signature(F.col("shingles"), bands)).collect()
-        table = F.array(*[F.struct(F.lit(r["license"]).alias("license"), F.lit(r["template"]).alias("template"), F.array(*map(F.lit, r["shingles"])).alias("shingles"), F.array(*map(F.lit, r["signature"])).alias("signature")) for r in known])
+        # one literal an array, split once when the plan is made, as whole texts have thousands of shingles
+        whole = lambda xs: F.split(F.lit("\n".join(map(str, xs))), "\n")
+        table = F.array(*[F.struct(F.lit(r["license"]).alias("license"), F.lit(r["template"]).alias("template"), whole(r["shingles"]).alias("shingles"), whole(r["signature"]).cast("array<bigint>").alias("signature")) for r in known])
         df = df.withColumn(f"m{length}", _matches(length, bands, table, clues))
         parts.append(F.col(f"m{length}"))
     return df.select(id_col, F.concat(*parts).cast(FOUND).alias("found"))

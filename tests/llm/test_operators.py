@@ -417,6 +417,57 @@ def test_license_scan(docs):
         assert (1 - shared / (window + own - shared)) ** license_scan.bands_for(length) <= license_scan.MISS
 
 
+def brute_licenses(text, templates):
+    """Matches of all templates in all windows, by exact containment."""
+    words, out = license_scan.words_of(text or ""), set()
+    for length in {len(license_scan.words_of(t)) for _, t in templates}:
+        for at in range(0, len(words), length):
+            own = set(license_scan.shingles_of(words[at : at + 2 * length]))
+            met = []
+            for k, (name, t) in enumerate(templates):
+                shingles = license_scan.shingles_of(license_scan.words_of(t))
+                if len(license_scan.words_of(t)) == length and len(held := set(shingles) & own) >= 0.8 * len(shingles):
+                    met.append((name, k, len(held) / len(shingles), at + 1, held))
+            out |= {m[:4] for m in met if not any(o[2] > m[2] and m[4] <= o[4] for o in met)}
+    return out
+
+
+def test_licenses_equal_brute_force_between_the_threshold_and_whole(spark):
+    r, texts = random.Random(6), []
+    for _, t in license_scan.TEMPLATES:
+        for edits in range(4):
+            words = t.split()
+            for at in r.sample(range(len(words)), min(edits, len(words))):
+                words[at] = "changed"
+            texts.append(prose(r.randrange(40)) + " " + " ".join(words) + " " + prose(r.randrange(40)))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: {(m.license, m.template, m.containment, m.word) for m in x.found} for x in license_scan.scan(frame).collect()}
+    want = {i: brute_licenses(t, license_scan.TEMPLATES) for i, t in enumerate(texts)}
+    assert got == want and any(0.8 <= m[2] < 1 for w in want.values() for m in w) and sum(not w for w in want.values()) > 20
+
+
+def test_whole_license_texts_as_templates(spark, tmp_path):
+    r = random.Random(7)
+    for name in ("one", "two.txt"):
+        (tmp_path / name).write_text(" ".join(r.choice(VOCABULARY) for _ in range(900)) + ".\n")
+    (tmp_path / "empty").write_text(" \n")
+    templates = license_scan.read_templates(spark, str(tmp_path))
+    assert [n for n, _ in templates] == ["one", "two"]
+    clues = license_scan.clues_for(templates)
+    assert license_scan.clues_suffice(templates, clues)
+    words = templates[0][1].split()
+    few, many = list(words), list(words)
+    for at in r.sample(range(900), 20):
+        few[at] = "changed"
+    for at in r.sample(range(900), 90):
+        many[at] = "changed"
+    texts = [prose(500) + " " + " ".join(few) + " " + prose(700), " ".join(many), " ".join(words[:600]), templates[1][1] + " " + " ".join(words), None, ""]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: {(m.license, m.template, m.containment, m.word) for m in x.found} for x in license_scan.scan(frame, templates=templates, clues=clues).collect()}
+    assert got == {i: brute_licenses(t, templates) for i, t in enumerate(texts)}
+    assert {m[0] for m in got[0]} == {"one"} and {m[0] for m in got[3]} == {"one", "two"} and not got[1] and not got[2]
+
+
 def test_license_headers(spark):
     header = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
     want = [
@@ -525,6 +576,26 @@ def test_embedding_dedup(spark):
     assert sorted(rows_of(embedding_dedup.near_duplicates(frame))) == want
 
 
+@pytest.mark.parametrize("dim, functions", [(8, 3), (64, 3), (64, 4), (64, 5), (384, 3), (384, 5)])
+def test_embedding_recall_at_the_threshold(dim, functions):
+    r = np.random.default_rng(dim + functions)
+    n = 400 if dim > 100 else 1_500
+    x = r.normal(size=(n, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = r.normal(size=(n, dim))
+    y -= (x * y).sum(1, keepdims=True) * x
+    y = 0.98 * x + np.sqrt(1 - 0.98**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    hasher = embedding_dedup.Hasher(dim, functions=functions)
+    a, b = hasher.codes(x), hasher.codes(y)
+    met = (a[:, :, :, None] == b[:, :, None, :]).any((2, 3))
+    assert met.any(1).mean() >= 0.99, (met.any(1).mean(), met.mean())
+
+
+def test_embedding_functions_follow_the_count():
+    assert [embedding_dedup.functions_for(n, 64) for n in (0, 2**21, 2**21 + 1, 2**28 + 1, 10**15)] == [3, 3, 4, 5, 5]
+    assert embedding_dedup.functions_for(10**9, 384) == 3 and embedding_dedup.functions_for(10, 1) == 3
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(8, 40)] + [(5, 5), (None, 3), (1, None)]
     got = dict(rows_of(components(spark.createDataFrame(edges, "a long, b long"))))
