@@ -555,9 +555,9 @@ def test_embedding_dedup(spark):
     base = r.normal(size=(150, 20))
     near = np.concatenate([base, base[:60] + 0.02 * r.normal(size=(60, 20)), base[:20] * 3, np.repeat(base[:1], 70, 0) + 0.01 * r.normal(size=(70, 20)), np.repeat(base[1:3], 30, 0), np.repeat(base[149:], 2, 0) * [0.0, *[1.0] * 19]])
     rows = [(i, v.tolist(), i % 2 if i > 280 else 0) for i, v in enumerate(near)]
-    odd = [(1000, None, 0), (1001, [0.0] * 20, 0), (1002, [None] + [1.0] * 19, 0), (1003, [float("nan")] * 20, 0), (1004, rows[0][1], None), (1005, [], 0), (1006, [1.0, 2.0], 0), (1007, [2.0, 4.0], 0), (0, rows[0][1], 0), (1008, [float("inf")] * 20, 0), (1009, [-0.0, *near[-1].tolist()[1:]], 0)]
+    odd = [(1000, None, 0), (1001, [0.0] * 20, 0), (1002, [None] + [1.0] * 19, 0), (1003, [float("nan")] * 20, 0), (1004, rows[0][1], None), (1005, [], 0), (1006, [1.0, 2.0], 0), (1007, [2.0, 4.0], 0), (0, rows[0][1], 0), (1008, [float("inf")] * 20, 0), (1010, rows[5][1], 0), (1009, [-0.0, *near[-1].tolist()[1:]], 0)]
     frame = spark.createDataFrame([(*x, "c") for x in rows + odd], "vec_id long, embedding array<double>, label int, id string")
-    keep = rows + [odd[6], odd[7], odd[-1]]
+    keep = rows + [odd[6], odd[7], odd[-2], odd[-1]]
     links = {i: set() for i, *_ in rows + odd}
     for i, v, a in keep:
         for j, w, b in keep:
@@ -574,6 +574,9 @@ def test_embedding_dedup(spark):
     finally:
         embedding_dedup.BLOCK = block
     assert sorted(rows_of(embedding_dedup.near_duplicates(frame))) == want
+    unnamed = spark.createDataFrame([(None, rows[0][1], 0, "c"), (None, rows[0][1], 0, "c")], frame.schema)
+    got = sorted(rows_of(embedding_dedup.near_duplicates(frame.union(unnamed))), key=key)
+    assert got[1:] == want and got[0][:3] == (None, 0, None)
 
 
 @pytest.mark.parametrize("dim, functions", [(8, 3), (64, 3), (64, 4), (64, 5), (384, 3), (384, 5)])
@@ -614,6 +617,7 @@ def test_empty_tables(spark, docs):
     assert token_count.count_tokens(none, RANKS).count() == 0
     assert license_scan.scan(none).count() == 0
     assert language_id.learn(none) == {}
+    assert language_id.predict(none, {}).count() == 0 and language_id.predict(none.select("doc_id", "text"), {"a": np.ones(language_id.DIM)}).count() == 0
     assert decontamination.contamination(none, bench).count() == 0
     assert decontamination.contamination(docs, bench).where("n_hit > 0 or contaminated").count() == 0
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
