@@ -1,4 +1,8 @@
-"""The corpus pipeline: stages over ``documents``, each written and read again before the next."""
+"""The corpus pipeline: stages over ``documents``, each written and read again before the next.
+
+Rows: columns other than those of ``documents`` go; null ids, languages, sources and counts stay null;
+repeated rows are one group of copies, of which one stays; empty tables give empty tables.
+"""
 
 from __future__ import annotations
 
@@ -16,7 +20,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language is recognised; null text and text without a letter go.
 
-    A document's own label is kept; a missing one is filled with the predicted language.
+    A document's own label is kept; a missing one is filled with the predicted language. With no
+    label to learn from, no document is recognised and all go.
     """
     from tarnrank.llm import language_id as op
 
@@ -31,7 +36,10 @@ def _version():
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near copies one row, of the smallest id (null ids only where there is no other)."""
+    """Keeps of each group of near copies one row, of the smallest id (null ids only where there is no other).
+
+    Of several texts with that id in a group, the one with the least hash stays.
+    """
     from tarnrank.llm import simhash as op
 
     docs = docs.select(*COLUMNS)
@@ -45,7 +53,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops contaminated documents: those with benchmark passages in a twentieth of their words or more."""
+    """Drops contaminated documents: those with benchmark passages in a twentieth of their words or more. Without benchmark items none go."""
     from tarnrank.llm import decontamination as op
 
     docs = docs.select(*COLUMNS)
@@ -55,7 +63,10 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces every secret by a mark; all documents stay, and n_chars follows the text."""
+    """Replaces every secret by a mark; all documents stay, and n_chars follows the text.
+
+    The ledger in the shared folder holds what was scanned before, so that a second run scans new texts only.
+    """
     from tarnrank.llm import secret_scan as op
 
     return op.redact(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long"))
