@@ -275,4 +275,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # a document's marks, merged before they are listed, are a number for 64 words of its text at most
     merged = marks.repartition("doc", "version").groupBy("doc", "version", "block").agg(F.bit_or("bits").alias("bits"))
     gone = materialize(merged.groupBy("doc", "version").agg(F.collect_list(F.struct("block", "bits")).alias("gone")))
-    return _removed(hashed.join(gone, ["doc", "version"], "left").select("doc", "text", "gone"), window, id_col)
+    # marks grow with the corpus: they are never broadcast, at no size
+    return _removed(hashed.join(gone.hint("merge"), ["doc", "version"], "left").select("doc", "text", "gone"), window, id_col)
