@@ -56,8 +56,8 @@ CANDIDATES = [
     ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{2,}+\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]{2,}+(?:\x20?[\[(]dot[\])]\x20?[A-Za-z0-9-]{2,}+)+", r"[\[(]at[\])]"),
     ("phone", r"(?<![0-9+().-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9-])", ""),
     ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", ""),
-    ("name", rf"(?<![A-Za-z])(?:{_TITLE})\.?\x20[A-Z][a-z]++(?:\x20[A-Z][a-z]++)?", rf"(?:{_TITLE})\.?\x20[A-Z]"),
-    ("name", rf"(?<![A-Za-z])(?:{_GIVEN})\x20[A-Z][a-z]++", rf"(?:{_GIVEN})\x20[A-Z]"),
+    ("name", rf"(?<![A-Za-z])(?=[A-Z])(?:{_TITLE})\.?\x20[A-Z][a-z]++(?:\x20[A-Z][a-z]++)?", rf"(?=[A-Z])(?:{_TITLE})\.?\x20[A-Z]"),
+    ("name", rf"(?<![A-Za-z])(?=[A-Z][a-z]++\x20[A-Z])(?:{_GIVEN})\x20[A-Z][a-z]++", rf"(?=[A-Z][a-z]++\x20[A-Z])(?:{_GIVEN})\x20[A-Z]"),
 ]
 #: Fixed values by kind: strict form; gazetteer of endings, prefixes and names; words before; words around that speak against.
 FORM = {
