@@ -35,8 +35,8 @@ def brand_baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def user_baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """basket, item: the users of a day, for the swapped orientation."""
-    return table(spark, sf_dir, "events").select(F.date_format("ts", "yyyyMMdd").cast("long").alias("basket"), F.col("user_id").alias("item"))
+    """basket, item: the users of an hour, for the swapped orientation."""
+    return table(spark, sf_dir, "events").select(F.date_format("ts", "yyyyMMddHH").cast("long").alias("basket"), F.col("user_id").alias("item"))
 
 
 def document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
