@@ -4,8 +4,9 @@ Every version of every path is content-addressed (SHA-256 of its text). A ledger
 each blob, the rules (name and version) it was scanned with and what they found; only blobs with a
 rule version that the ledger lacks are scanned, once however many paths hold them, and findings are
 joined back to all paths. A changed rule gets a new version and is the only one run again. The
-ledger lies in the shared folder (``LEDGER``) unless another is named, so that a later scan of the
-same corpus finds its blobs known; what a stopped scan left without its mark of success is not read.
+ledger is the folder that a caller or the session's setting (``SETTING``) names, so that a later scan
+of the same corpus finds its blobs known; where neither does, a new one in the shared folder, so that
+all is scanned. What a stopped scan left without its mark of success is not read.
 
 Rows: null text is the empty blob; empty texts have no findings; repeated rows are returned each
 time; null ids are paths like any other. Texts are scanned whole and findings have no greatest
@@ -54,8 +55,8 @@ BASE = ["assign", "access", "hex"]
 #: Blobs and findings (under 100 bytes each) up to which they are broadcast to texts; beyond, the join is shuffled.
 BROADCAST_FINDINGS = 500_000
 FINDINGS = "array<struct<rule:string,start:int,end:int>>"
-#: The ledger's folder within the shared one.
-LEDGER = "secret-ledger"
+#: Session setting that names the folder of a kept ledger.
+SETTING = "tarnrank.secret.ledger"
 #: Code points in a block that a text is cut into before pieces are taken out of it.
 BLOCK = 4096
 
@@ -87,12 +88,12 @@ def scan(blobs: DataFrame, rules: list[Rule]) -> DataFrame:
 def findings(versions: DataFrame, text_col: str = "text", ledger: str | None = None, rules: list[Rule] | None = None) -> DataFrame:
     """The columns of ``versions`` but the text, with ``blob`` and ``findings`` (rule, start, end); its own of those names go.
 
-    ledger: folder of the ledger, in the shared folder if None; what is scanned is added to it as a
-    batch of Parquet. Only hashes are compared with it: a text is shuffled once, pre-aggregated by hash.
+    ledger: folder of the ledger; if None that of ``SETTING``, if unset a new one. What is scanned is
+    added to it as a batch of Parquet. Only hashes are compared with it: a text is shuffled once, pre-aggregated by hash.
     """
     rules = RULES if rules is None else rules
     spark, keys = versions.sparkSession, [_key(r) for r in rules]
-    ledger = ledger or f"{work_dir(spark)}/{LEDGER}"
+    ledger = ledger or spark.conf.get(SETTING, None) or f"{work_dir(spark)}/secrets-{uuid.uuid4().hex}"
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     kept = [c for c in versions.columns if c not in (text_col, "blob", "findings")]
     paths = versions.select(*kept, F.sha2(text, 256).alias("blob"))

@@ -279,13 +279,24 @@ def test_secret_ledger_scans_only_what_is_new(spark, docs):
     assert batches().count() == before + new.count() and [r[0] for r in new.select(F.explode("rules")).distinct().collect()] == ["assign@2"]
 
 
-def test_secret_ledger_is_kept_in_the_shared_folder(spark, docs):
-    path = f"{work_dir(spark)}/{secret_scan.LEDGER}"
-    first = sorted(rows_of(secret_scan.digest(secret_scan.findings(docs))), key=key)
-    before = spark.read.parquet(f"{path}/batch-*").count()
-    again = sorted(rows_of(secret_scan.digest(secret_scan.findings(docs))), key=key)
-    secret_scan.redact(docs).count()
-    assert again == first and spark.read.parquet(f"{path}/batch-*").count() == before
+def test_secret_ledger_is_kept_where_the_session_names_one(spark, docs):
+    path = f"{work_dir(spark)}/ledger-kept"
+    fresh = sorted(rows_of(secret_scan.digest(secret_scan.findings(docs))), key=key)
+    spark.conf.set(secret_scan.SETTING, path)
+    try:
+        first = sorted(rows_of(secret_scan.digest(secret_scan.findings(docs))), key=key)
+        before = spark.read.parquet(f"{path}/batch-*").count()
+        again = sorted(rows_of(secret_scan.digest(secret_scan.findings(docs))), key=key)
+        secret_scan.redact(docs).count()
+        assert again == first == fresh and spark.read.parquet(f"{path}/batch-*").count() == before
+    finally:
+        spark.conf.unset(secret_scan.SETTING)
+
+
+def test_secrets_are_all_scanned_where_no_ledger_is_named(spark, docs):
+    spans = lambda ledger: sorted(rows_of(secret_scan.digest(secret_scan.findings(docs, ledger=ledger))), key=key)
+    assert spans(None) == spans(None) == spans(f"{work_dir(spark)}/ledger-of-its-own")
+    assert not spark.conf.get(secret_scan.SETTING, None)
 
 
 PEM = "-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join("A1b2/+==" * 8 for _ in range(900)) + "\n-----END RSA PRIVATE KEY-----"
