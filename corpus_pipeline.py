@@ -65,7 +65,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces every secret by a mark; all documents stay, and n_chars follows the text.
 
-    The ledger in the shared folder holds what was scanned before, so that a second run scans new texts only.
+    All texts are scanned, each distinct one once; where the session names a kept ledger (``secret_scan.SETTING``), new texts only.
     """
     from tarnrank.llm import secret_scan as op
 
