@@ -103,8 +103,9 @@ def findings(versions: DataFrame, text_col: str = "text", ledger: str | None = N
         due = due.withColumn("todo", every)
     else:
         known = known.join(paths.select("blob").distinct(), "blob", "left_semi")
-        done = known.select("blob", F.explode("rules").alias("rule")).groupBy("blob").agg(F.collect_set("rule").alias("done"))
-        due = due.join(done, "blob", "left").withColumn("todo", F.array_except(every, F.coalesce("done", F.array().cast("array<string>"))))
+        # settled on the ledger's side of the join, so that the plan of the scan holds it once
+        rest = known.select("blob", F.explode("rules").alias("rule")).groupBy("blob").agg(F.array_except(every, F.collect_set("rule")).alias("rest"))
+        due = due.join(rest, "blob", "left").withColumn("todo", F.coalesce("rest", every))
         due = due.where(F.size("todo") > 0)
     new = materialize(scan(due.select("blob", "text", "todo"), rules), f"{ledger}/batch-{uuid.uuid4().hex}")
     found = new.select("blob", "findings")
