@@ -93,7 +93,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
+    import public_tokenizers
+
+    from . import oracles
+
     return {
+        "op5_secret_scan": oracles.secrets(),
+        "op7_token_count": oracles.token_counts(public_tokenizers.path("byte_bpe_50k.tiktoken")),
+        "op10_license_scan": oracles.licenses(),
         "op1_embedding_dedup": """
 with recursive v as (
   select vec_id, label, embedding::double[] as e from embeddings
