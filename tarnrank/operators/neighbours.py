@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from math import ceil
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.expressions import clamp, ratio
+from .similarity import durable
 
 #: Digits that similarities are rounded to before they are ranked, so that ties are ties everywhere.
 DIGITS = 12
 #: Rows of a group in a block, from which its pairs are dealt to several groups.
 BLOCK = 2_000
+#: Pairs of items whose common raters are counted in one pass (a pass shuffles some 7 bytes a pair), and in one of its tasks.
+PASS, TASK = 150_000_000, 1_000_000
 
 
 def split(ratings: DataFrame, test_pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -109,28 +115,75 @@ def predict_user_based(train: DataFrame, test: DataFrame, k: int = 5, skip_top:
     return _combine(test, chosen, means, "user")
 
 
-def item_similarities(train: DataFrame, test: DataFrame, threshold: float) -> DataFrame:
+def rated_lists(train: DataFrame, test: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """item, n, asked: an item's raters and whether ``test`` has it; and user, asked, asked_n, others, others_n: a user's items, those asked in the order of (n, item)."""
+    owned = durable(train.where("user is not null").select("user", "item").repartition("user").groupBy("user").agg(F.collect_set("item").alias("items")))
+    rated = owned.select("user", F.explode("items").alias("item"))
+    wanted = test.select("item").distinct().withColumn("asked", F.lit(True))
+    sizes = durable(rated.groupBy("item").agg(F.count("*").alias("n")).join(wanted, "item", "left").select("item", "n", F.coalesce("asked", F.lit(False)).alias("asked")))
+    held = F.struct("n", "item")
+    lists = rated.join(sizes, "item").repartition("user").groupBy("user").agg(F.sort_array(F.collect_list(F.when(F.col("asked"), held))).alias("x"), F.collect_list(F.when(~F.col("asked"), held)).alias("y"))
+    return sizes, durable(lists.select("user", F.col("x.item").alias("asked"), F.col("x.n").alias("asked_n"), F.col("y.item").alias("others"), F.col("y.n").alias("others_n")).where("size(asked) > 0"))
+
+
+def item_similarities(train: DataFrame, test: DataFrame, threshold: float, block: int = BLOCK, per_pass: int = PASS) -> DataFrame:
     """a < b, sim of at least ``threshold``: Jaccard similarities of raters' sets, of pairs with an item of ``test``.
 
-    Common raters are counted by one join on users and a hash aggregate: at low thresholds, where
-    prefixes are nearly whole sets, that is less than a join by prefixes and a check of each pair.
+    A user's item goes with the list of the user's items after it to the task that counts its pairs,
+    so an item, not a pair, is a row of the shuffle. Items are in the order of their raters, so the
+    first of a pair tells how many in common it takes at least, and the rest of the pairs go where they
+    are counted. Passes over stored lists, each of other items, bound what is shuffled at a time.
+    Lists of more than ``block`` items meet by blocks.
     """
-    rated = train.select("user", "item").distinct()
-    sizes = rated.groupBy("item").agg(F.count("*").alias("n"))
-    wanted = test.select("item").distinct().withColumn("asked", F.lit(True))
-    rows = rated.join(wanted, "item", "left").select("user", "item", F.coalesce("asked", F.lit(False)).alias("asked"))
-    common = meetings(rows, "user", "item", "asked").where("x or y").groupBy("a", "b").agg(F.count("*").alias("c"))
-    both = common.join(sizes.select(F.col("item").alias("a"), F.col("n").alias("m")), "a").join(sizes.select(F.col("item").alias("b"), "n"), "b")
-    return both.select("a", "b", (F.col("c") / (F.col("m") + F.col("n") - F.col("c"))).alias("sim")).where(F.col("sim") >= threshold)
+    sizes, lists = rated_lists(train, test)
+    n, m = F.size("asked").cast("double"), F.size("others").cast("double")
+    total, longest = lists.agg(F.sum(n * (n - 1) / 2 + n * m), F.max(n + m)).first()
+    passes = max(1, ceil((total or 0) / per_pass))
+    parts = max(int(train.sparkSession.conf.get("spark.sql.shuffle.partitions")), ceil((total or 0) / passes / TASK))
+    # a pair of asked items is counted at the one with fewer raters, a pair with another item at that one
+    least = lambda n, asked: F.ceil((F.when(asked, 2 * threshold / (1 + threshold)).otherwise(threshold)) * n - 1e-9).cast("int").alias("least")
+    short = lists.where(F.size("asked") + F.size("others") <= block)
+    first = short.select("asked", "asked_n", F.posexplode("asked").alias("at", "a")).where(F.col("at") + 1 < F.size("asked"))
+    first = first.select("a", least(F.get("asked_n", F.col("at")), F.lit(True)), F.slice("asked", F.col("at") + 2, F.size("asked")).alias("rest"))
+    other = short.select("asked", F.explode(F.arrays_zip("others", "others_n")).alias("o")).select(F.col("o.others").alias("a"), least(F.col("o.others_n"), F.lit(False)), F.col("asked").alias("rest"))
+    rows = first.union(other)
+    if longest and longest > block:
+        long = lists.where(F.size("asked") + F.size("others") > block)
+        one = lambda items, asked: long.select("user", F.explode(F.arrays_zip(F.col(items).alias("item"), F.col(f"{items}_n").alias("n"))).alias("o")).select("user", "o.item", F.struct(F.lit(asked).alias("asked"), "o.n", "o.item").alias("own"))
+        met = meetings(one("asked", True).union(one("others", False)), "user", "item", "own", block).where("x.asked or y.asked").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+        rows = rows.union(met.select("x.item", least(F.col("x.n"), F.col("x.asked")), F.array("y.item").alias("rest")))
+
+    def counted(own: DataFrame) -> DataFrame:
+        common = own.repartition(parts, "a").select("a", "least", F.explode("rest").alias("b")).groupBy("a", "least", "b").agg(F.count("*").alias("c")).where("c >= least")
+        both = common.join(sizes.select(F.col("item").alias("a"), F.col("n").alias("m")), "a").join(sizes.select(F.col("item").alias("b"), "n"), "b")
+        sims = both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("c") / (F.col("m") + F.col("n") - F.col("c"))).alias("sim"))
+        return durable(sims.where(F.col("sim") >= threshold))
+
+    return reduce(DataFrame.union, [counted(rows.where(F.pmod(F.xxhash64("a"), F.lit(passes)) == p)) for p in range(passes)])
+
+
+def similar_are_fewer(train: DataFrame, test: DataFrame, both: DataFrame) -> bool:
+    """Whether the items similar to those of ``test`` are fewer rows than the items of its users."""
+    similar = test.join(both.groupBy("item").agg(F.count("*").cast("double").alias("n")), "item").agg(F.sum("n")).first()[0] or 0
+    own = test.join(train.groupBy("user").agg(F.count("*").cast("double").alias("n")), "user").agg(F.sum("n")).first()[0] or 0
+    return similar < own
 
 
 def item_candidates(train: DataFrame, test: DataFrame, sims: DataFrame) -> DataFrame:
-    """user, item, neighbour, sim, c: the user's items that have a stored similarity with the item."""
-    means = train.groupBy("item").agg(F.avg("rating").alias("mean"))
-    rows = train.join(means, "item").select("user", F.col("item").alias("neighbour"), (F.col("rating") - F.col("mean")).alias("c"))
+    """user, item, neighbour, sim, c: the user's items that have a stored similarity with the item.
+
+    Pairs of ``test`` meet the similar items first or the user's, whichever counts say are fewer.
+    """
+    means = train.groupBy("item").agg(F.avg("rating").alias("mean")).withColumnRenamed("item", "neighbour")
+    rows = train.select("user", F.col("item").alias("neighbour"), "rating")
     both = sims.select("a", "b", "sim").union(sims.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
     both = both.select(F.col("a").alias("item"), F.col("b").alias("neighbour"), "sim").distinct()
-    return test.select("user", "item").join(rows, "user").join(both, ["item", "neighbour"]).select("user", "item", "neighbour", "sim", "c")
+    asked = test.select("user", "item")
+    if similar_are_fewer(train, test, both):
+        met = asked.join(both, "item").join(rows, ["user", "neighbour"])
+    else:
+        met = asked.join(rows, "user").join(both, ["item", "neighbour"])
+    return met.join(means, "neighbour").select("user", "item", "neighbour", "sim", (F.col("rating") - F.col("mean")).alias("c"))
 
 
 def predict_item_based(train: DataFrame, test: DataFrame, sims: DataFrame, k: int = 5, skip_top: int = 1) -> DataFrame:

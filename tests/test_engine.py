@@ -2,6 +2,7 @@
 
 import os
 import random
+import time
 from itertools import combinations
 
 import numpy as np
@@ -159,6 +160,40 @@ def test_item_similarities_equal_the_join_by_prefixes(spark):
     assert sorted(rows_of(neighbours.item_similarities(rated, rated.where("item = 3"), 0.2))) == sorted(x for x in exact if 3 in x[:2])
 
 
+def test_item_similarities_by_passes_and_blocks(spark):
+    r = random.Random(12)
+    rated = spark.createDataFrame([(u, i, 1.0) for u in range(40) for i in r.sample(range(20), r.randrange(1, 12))] + [(0, 1, 2.0), (0, 1, 3.0)], RATED)
+    exact = rows_of(similarity.jaccard_exact(rated.select(F.col("item").alias("id"), F.col("user").alias("element")).distinct(), 0.2))
+    for test in (rated, rated.where("item % 5 = 2")):
+        asked = {x["item"] for x in test.select("item").distinct().collect()}
+        want = sorted(x for x in exact if asked & {*x[:2]})
+        assert sorted(rows_of(neighbours.item_similarities(rated, test, 0.2, block=4, per_pass=150))) == want and want
+        assert sorted(rows_of(neighbours.item_similarities(rated, test, 0.2, per_pass=400))) == want
+
+
+def test_item_candidates_by_either_way(spark, monkeypatch):
+    r = random.Random(15)
+    rated = spark.createDataFrame([(u, i, float(r.randrange(6))) for u in range(30) for i in r.sample(range(15), r.randrange(2, 9))], RATED)
+    test = rated.where("(user + item) % 4 = 0")
+    sims = neighbours.item_similarities(rated, test, 0.1)
+    found = []
+    for fewer in (True, False):
+        monkeypatch.setattr(neighbours, "similar_are_fewer", lambda *_, fewer=fewer: fewer)
+        found.append(sorted(rows_of(neighbours.item_candidates(rated, test, sims))))
+    assert found[0] == found[1] != []
+
+
+def test_a_stored_table_leaves_no_shuffle_files(spark):
+    roots = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    files = lambda: {f for d in roots for _, _, names in os.walk(d) for f in names if f.startswith("shuffle_")}
+    before = files()
+    stored = similarity.durable(spark.range(1_000).groupBy((F.col("id") % 7).alias("x")).count())
+    until = time.monotonic() + 5
+    while files() - before and time.monotonic() < until:
+        time.sleep(0.2)
+    assert not files() - before and stored.count() == 7
+
+
 def test_large_buckets_are_cut_and_hashes_independent(spark):
     r = random.Random(13)
     rows = [(i, b, r.randrange(3)) for i in range(60) for b in range(2)]
