@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from math import ceil
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -56,10 +56,16 @@ def directions(train: DataFrame) -> DataFrame:
     return rows.join(norms, "user").select("user", "item", F.coalesce(ratio(F.col("c"), F.col("norm")), F.lit(0.0)).alias("c"))
 
 
+def settled(x: Column) -> Column:
+    """``x``, and 0 where it is 0 at the digits that similarities are ranked at: what the order of a sum leaves of terms that cancel."""
+    return F.when(F.abs(x) < 0.5 * 10.0**-DIGITS, F.lit(0.0)).otherwise(x)
+
+
 def user_cosine(train: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """a < b, sim: cosine of users' centred rows, over co-rated items with norms over all items.
 
-    Pairs without a co-rated item are absent (0); a user whose ratings are all equal has 0. With
+    Pairs without a co-rated item are absent (0); a user whose ratings are all equal has 0, and so has
+    a pair whose products cancel. With
     ``pairs`` (a, b) only those are evaluated: each meets the ratings of its first user, then those
     of its second at the same items, so that work grows with the pairs asked for and not with the
     square of an item's raters.
@@ -70,7 +76,7 @@ def user_cosine(train: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     else:
         left, right = rows.select(F.col("user").alias("a"), "item", F.col("c").alias("x")), rows.select(F.col("user").alias("b"), "item", F.col("c").alias("y"))
         met = pairs.select("a", "b").distinct().join(left, "a").join(right, ["b", "item"])
-    return met.groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("sim"))
+    return met.groupBy("a", "b").agg(settled(F.sum(F.col("x") * F.col("y"))).alias("sim"))
 
 
 def pairs_are_fewer(train: DataFrame, test: DataFrame) -> bool:
@@ -89,7 +95,7 @@ def nearest(candidates: DataFrame, k: int = 5, skip_top: int = 1) -> DataFrame:
 
 def _combine(test: DataFrame, chosen: DataFrame, means: DataFrame, key: str) -> DataFrame:
     sums = chosen.groupBy("user", "item").agg(F.sum(F.col("sim") * F.col("c")).alias("top"), F.sum("sim").alias("bottom"))
-    moved = ratio(F.col("top"), F.col("bottom"))
+    moved = ratio(F.col("top"), settled(F.col("bottom")))
     out = test.join(means, key).join(sums, ["user", "item"], "left")
     return out.select("user", "item", "rating", F.when(moved.isNotNull(), clamp(F.col("mean") + moved)).otherwise(F.col("mean")).alias("prediction"))
 

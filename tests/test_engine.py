@@ -152,6 +152,16 @@ def test_cosines_of_listed_pairs_and_split_items(spark):
     assert neighbours.pairs_are_fewer(rated, test.limit(0)) and not neighbours.pairs_are_fewer(rated, rated)
 
 
+def test_a_sum_that_cancels_is_zero(spark):
+    noise = spark.createDataFrame([(0.3 - 0.1 * 3, ), (1e-18,), (-7.2e-18,), (2e-12,), (-0.25,)], "x double")
+    assert [x for x, in rows_of(noise.select(neighbours.settled(F.col("x"))))] == [0.0, 0.0, 0.0, 2e-12, -0.25]
+    test = spark.createDataFrame([(1, 1, 4.0)], RATED)
+    means = spark.createDataFrame([(1, 3.0)], "user long, mean double")
+    chosen = spark.createDataFrame([(1, 1, 5, 0.1, 2.0), (1, 1, 6, 0.2, -1.0), (1, 1, 7, -0.3, 0.5)], "user long, item long, neighbour long, sim double, c double")
+    assert 0.1 + 0.2 - 0.3 != 0
+    assert rows_of(neighbours._combine(test, chosen.coalesce(1), means, "user")) == [(1, 1, 4.0, 3.0)]
+
+
 def test_item_similarities_equal_the_join_by_prefixes(spark):
     r = random.Random(11)
     rated = spark.createDataFrame([(u, i, 1.0) for u in range(30) for i in r.sample(range(15), r.randrange(1, 7))], "user long, item long, rating double")
