@@ -162,6 +162,17 @@ def test_a_sum_that_cancels_is_zero(spark):
     assert rows_of(neighbours._combine(test, chosen.coalesce(1), means, "user")) == [(1, 1, 4.0, 3.0)]
 
 
+def test_errors_do_not_hold_what_cancels(spark, monkeypatch):
+    # users 1 and 2 have centred rows (.1, .2, -.3) and (c, c, c'), whose products cancel but for noise
+    rated = [(1, 0, 2.1), (1, 1, 2.2), (1, 2, 1.7), (2, 0, 3.7), (2, 1, 3.7), (2, 2, 3.7 + 0.0), (3, 0, 1.0), (3, 3, 2.0), (2, 9, 1.0), (3, 9, 4.5), (4, 9, 5.0), (4, 8, 0.5)]
+    train = spark.createDataFrame(rated, RATED)
+    held = spark.createDataFrame([(1, 9, 2.0)], RATED)
+    sims = {(a, b): sim for a, b, sim in rows_of(neighbours.user_cosine(train))}
+    assert sims[1, 2] == 0.0
+    assert rows_of(neighbours.predict_user_based(train, held, k=1, skip_top=0)) == [(1, 9, 2.0, pytest.approx(2.0))]
+    assert rows_of(evaluation.error_histogram(neighbours.predict_user_based(train, held, k=1, skip_top=0)).where("n > 0")) == [(0, 1)]
+
+
 def test_item_similarities_equal_the_join_by_prefixes(spark):
     r = random.Random(11)
     rated = spark.createDataFrame([(u, i, 1.0) for u in range(30) for i in r.sample(range(15), r.randrange(1, 7))], "user long, item long, rating double")
