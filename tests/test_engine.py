@@ -229,6 +229,26 @@ def test_large_buckets_are_cut_and_hashes_independent(spark):
     assert similarity.candidates(similarity.buckets(similarity.signatures(frame, params), params)).count() < 100
 
 
+def test_hashed_pairs_are_told_apart_and_checked_in_passes(spark):
+    r = random.Random(17)
+    base = [set(r.sample(range(900), r.randrange(5, 160))) for _ in range(12)]
+    sets = base + [set(list(s)[: len(s) - len(s) // 5]) | set(r.sample(range(900), 2)) for s in base for _ in range(3)]
+    frame = spark.createDataFrame([(i, e) for i, s in enumerate(sets) for e in s], "id long, element long").repartition(3)
+    for params in (similarity.LshParams(), similarity.LshParams.sized()):
+        signed = similarity.signatures(frame, params)
+        want = sorted(rows_of(similarity.candidates(similarity.buckets(signed, params))))
+        assert sorted(rows_of(similarity.banded_candidates(signed, params))) == sorted(rows_of(similarity.banded_candidates(signed, params, block=7))) == want
+        rows = similarity.durable(similarity.vectors(signed, params)).join(similarity.sketches(similarity.hashed(frame)), "id")
+        rows = rows.select("id", "buckets", similarity.packed(F.col("buckets"), params).alias("v"), "n", "sketch")
+        whole = sorted(rows_of(similarity.verified(frame, spark.createDataFrame(want, "a long, b long"), 0.5, per_pass=1)))
+        sims = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in want}
+        assert whole == sorted((*k, v) for k, v in sims.items() if v >= 0.5) != []
+        for block in (5_000, 7):
+            near = [x for k in range(0, 40, 20) for x in rows_of(similarity.near_in_bands(rows, params, range(k, k + 20), 0.5, block))]
+            assert len(near) == len(set(near)) and {x[:2] for x in whole} <= set(near) <= set(want)
+        assert sorted(rows_of(similarity.jaccard_lsh(frame, 0.5, params))) == whole
+
+
 def test_neighbour_ranks_drop_the_nearest_and_break_ties(spark):
     rows = [(1, 1, n, s, 0.0) for n, s in [(5, 0.9), (4, 0.9), (3, 0.5), (2, -0.1), (9, 0.0), (8, 0.0), (7, 0.0), (6, 0.4)]] + [(2, 1, 3, 0.7, 0.0)]
     found = neighbours.nearest(spark.createDataFrame(rows, "user long, item long, neighbour long, sim double, c double"))
