@@ -249,6 +249,24 @@ def test_hashed_pairs_are_told_apart_and_checked_in_passes(spark):
         assert sorted(rows_of(similarity.jaccard_lsh(frame, 0.5, params))) == whole
 
 
+def test_exact_pairs_are_not_stored_before_they_are_told_apart(spark, monkeypatch):
+    r = random.Random(19)
+    alike = [set(range(10, 22))] * 30 + [set(range(10, 23))] * 3
+    sets = alike + [{1} | set(r.sample(range(100, 400), 20)) for _ in range(40)]
+    frame = spark.createDataFrame([(i, e) for i, s in enumerate(sets) for e in s] + [(None, 1), (900, None)], "id long, element long").repartition(3)
+    asked, check = [], similarity.verified
+    monkeypatch.setattr(similarity, "verified", lambda sets, pairs, *more, **named: asked.append(pairs.count()) or check(sets, pairs, *more, **named))
+    want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in combinations(range(len(sets)), 2)}
+    got = rows_of(similarity.jaccard_exact(frame))
+    assert len(got) == len(set(got)) and {x[:2]: x[2] for x in got} == pytest.approx({k: v for k, v in want.items() if v >= 0.5})
+    assert asked[0] < 20  # before: each pair of the equal sets, and those of the rest that share an element of their prefixes
+    pieces = similarity.classes(spark.createDataFrame([(i, i % 2) for i in range(25)], "id long, k long"), "k")
+    monkeypatch.setattr(similarity, "pieces", lambda same, cut=similarity.pieces: cut(same, 4))
+    assert sorted(rows_of(similarity.among(pieces))) == [(a, b) for a, b in combinations(range(25), 2) if a % 2 == b % 2]
+    met = sorted(rows_of(similarity.members(spark.createDataFrame([(0, 1), (0, 99)], "a long, b long"), pieces)))
+    assert met == sorted([(min(a, b), max(a, b)) for a in range(0, 25, 2) for b in range(1, 25, 2)] + [(a, 99) for a in range(0, 25, 2)])
+
+
 def test_neighbour_ranks_drop_the_nearest_and_break_ties(spark):
     rows = [(1, 1, n, s, 0.0) for n, s in [(5, 0.9), (4, 0.9), (3, 0.5), (2, -0.1), (9, 0.0), (8, 0.0), (7, 0.0), (6, 0.4)]] + [(2, 1, 3, 0.7, 0.0)]
     found = neighbours.nearest(spark.createDataFrame(rows, "user long, item long, neighbour long, sim double, c double"))
