@@ -4,6 +4,10 @@ Level k's candidates come from the frequent (k - 1)-sets alone: two that differ
 are joined, and those with a (k - 1)-subset that is not frequent go. Then occurrences of the frequent
 (k - 1)-sets are extended by a larger item of the same basket, only to candidates, and counted. What
 is shuffled is keyed by basket or by itemset; nothing but a level's size reaches the driver.
+
+Where items' sets of baskets are small as bits and comparing all of them is less work than the pairs of
+items that meet in baskets, they are sent to all tasks as bitmaps of at most ``BITMAPS`` bytes instead,
+and each task extends its own first items depth first; then no occurrence is shuffled.
 """
 
 from __future__ import annotations
@@ -11,11 +15,19 @@ from __future__ import annotations
 from itertools import combinations
 from math import floor
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
+from .similarity import dense_ranks, durable
+
+#: Bytes of bitmaps that are sent to all tasks at most, and comparisons of words that are as much work as a pair of items that meets in a basket.
+BITMAPS, WORDS_A_PAIR = 64_000_000, 20
+
 
 def frequent_singletons(baskets: DataFrame, support: int) -> DataFrame:
     """items (array of one), k, n: items in at least ``support`` baskets; repeats in a basket count once."""
@@ -33,6 +45,78 @@ def level_candidates(level: DataFrame, k: int) -> DataFrame:
     return grown
 
 
+def extended(prefix: tuple, ids: np.ndarray, bits: np.ndarray, support: int, max_k: int | None):
+    """(items, n) of frequent sets of ``prefix`` and two or more of ``ids``, whose bitmaps with the prefix are ``bits``; depth first."""
+    if len(ids) < 2 or max_k is not None and len(prefix) + 2 > max_k:
+        return
+    step = max(1, 4_000_000 // bits.size)
+    for at in range(0, len(ids) - 1, step):
+        counts = np.bitwise_count(bits[at : at + step, None, :] & bits[None, at + 1 :, :]).sum(axis=2, dtype=np.int64)
+        for i in range(min(step, len(ids) - 1 - at)):
+            met = np.flatnonzero(counts[i, i:] >= support) + i
+            if len(met):
+                own, after = int(ids[at + i]), at + 1 + met
+                for j, n in zip(after, counts[i, met], strict=True):
+                    yield (*prefix, own, int(ids[j])), int(n)
+                yield from extended((*prefix, own), ids[after], bits[after] & bits[at + i], support, max_k)
+
+
+def from_first(first: int, bits: np.ndarray, turned: np.ndarray, support: int, max_k: int | None):
+    """Frequent sets of two and more items (places in ``bits``) whose first is ``first``: the second items with their counts, then (items, n) of larger sets."""
+    rest = turned[:, first + 1 :]
+    if len(turned) <= 64:
+        counts = np.zeros(rest.shape[1], np.int64)
+        for word, own in zip(rest, turned[:, first], strict=True):
+            counts += np.bitwise_count(word & own)
+    else:
+        counts = np.array([np.bitwise_count(bits[first] & x).sum(dtype=np.int64) for x in bits[first + 1 :]], np.int64)
+    met = np.flatnonzero(counts >= support)
+    seconds = met + first + 1
+    return seconds, counts[met], extended((first,), seconds, bits[seconds] & bits[first], support, max_k)
+
+
+def by_bitmaps(pairs: DataFrame, level: DataFrame, support: int, max_k: int | None = None) -> DataFrame | None:
+    """items, k, n of sets of two and more, from ``pairs`` (basket, item; a set) of the frequent items of ``level``; None where bitmaps are too large or more work."""
+    spark, kind = pairs.sparkSession, dict(pairs.dtypes)["item"]
+    sizes = pairs.groupBy("basket").agg(F.count("*").cast("double").alias("size"))
+    total, met = sizes.agg(F.count("*"), F.sum(F.col("size") * (F.col("size") - 1) / 2)).first()
+    items, words = level.count(), -(-total // 64)
+    if not items or items * words * 8 > BITMAPS or items * items / 2 * words > WORDS_A_PAIR * met:
+        return None
+    names = level.select(F.col("items")[0].alias("item")).orderBy("item").toArrow()["item"].combine_chunks()
+    one = F.get(F.array(*[F.lit(1 << j if j < 63 else -(1 << 63)).cast("long") for j in range(64)]), F.pmod("rank", F.lit(64)).cast("int"))
+    set_bits = pairs.join(dense_ranks(pairs, "basket"), "basket").groupBy("item", F.floor(F.col("rank") / 64).cast("int").alias("word")).agg(F.bit_or(one).alias("bits")).toArrow()
+    bits = np.zeros((items, words), np.uint64)  # of signed numbers NumPy counts the bits of the absolute value
+    bits[pc.index_in(set_bits["item"], value_set=names).to_numpy(), set_bits["word"].to_numpy()] = set_bits["bits"].to_numpy().view(np.uint64)
+    held = spark.sparkContext.broadcast((names, bits))
+    tasks = min(items, 8 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def grown(batches):
+        own, rows = held.value
+        turned = np.ascontiguousarray(rows.T)
+
+        def batch(places, lengths, counts):
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)], pa.int32()), own.take(pa.array(places, pa.int64())))
+            return pa.RecordBatch.from_arrays([lists, pa.array(lengths, pa.int32()), pa.array(counts, pa.int64())], names=["items", "k", "n"])
+
+        for some in batches:
+            for task in some["id"].to_pylist():
+                for first in range(task, len(rows), tasks):
+                    seconds, counts, larger = from_first(first, rows, turned, support, max_k)
+                    if len(seconds):
+                        yield batch(np.stack([np.full(len(seconds), first), seconds], axis=1).ravel(), np.full(len(seconds), 2), counts)
+                    waiting = []
+                    for x in larger:
+                        waiting.append(x)
+                        if len(waiting) == 10_000:
+                            yield batch([i for c, _ in waiting for i in c], [len(c) for c, _ in waiting], [n for _, n in waiting])
+                            waiting = []
+                    if waiting:
+                        yield batch([i for c, _ in waiting for i in c], [len(c) for c, _ in waiting], [n for _, n in waiting])
+
+    return durable(spark.range(0, tasks, 1, tasks).mapInArrow(grown, f"items array<{kind}>, k int, n long"))
+
+
 def frequent_itemsets(baskets: DataFrame, support: int, max_k: int | None = None) -> DataFrame:
     """items (ascending array), k, n for every set in at least ``support`` baskets; none gives no rows."""
     if support < 1:
@@ -40,6 +124,8 @@ def frequent_itemsets(baskets: DataFrame, support: int, max_k: int | None = None
     pairs = baskets.select("basket", "item").where("basket is not null and item is not null").distinct()
     level = frequent_singletons(pairs, support).persist(StorageLevel.MEMORY_AND_DISK)
     pairs = pairs.join(level.select(F.col("items")[0].alias("item")), "item", "left_semi").select("basket", "item").persist(StorageLevel.MEMORY_AND_DISK)
+    if (max_k is None or max_k > 1) and (larger := by_bitmaps(pairs, level, support, max_k)) is not None:
+        return level.union(larger)
     found, held, k = level, pairs.select("basket", F.array("item").alias("items")), 1
     while (max_k is None or k < max_k) and not level.isEmpty():
         k += 1
