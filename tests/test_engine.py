@@ -283,6 +283,22 @@ def test_exact_pairs_are_not_stored_before_they_are_told_apart(spark, monkeypatc
     assert met == sorted([(min(a, b), max(a, b)) for a in range(0, 25, 2) for b in range(1, 25, 2)] + [(a, 99) for a in range(0, 25, 2)])
 
 
+def test_prefixes_meet_in_passes_that_send_a_part_of_the_sketches(spark, monkeypatch):
+    r = random.Random(23)
+    base = [set(r.sample(range(700), r.randrange(1, 200))) for _ in range(30)]
+    sets = base + [set(list(s)[: len(s) - len(s) // 4]) | set(r.sample(range(700), 2)) for s in base]
+    frame = spark.createDataFrame([(i, e) for i, s in enumerate(sets) for e in s], "id long, element long").repartition(3)
+    want = {(a, b) for a, b in combinations(range(len(sets)), 2) if len(sets[a] & sets[b]) >= 0.5 * len(sets[a] | sets[b])}
+    stored, store = [], similarity.durable
+    monkeypatch.setattr(similarity, "durable", lambda df: stored.append(df.columns) or store(df))
+    monkeypatch.setattr(similarity, "PER_ROW", 500)
+    whole = similarity.hashed(frame)
+    found = rows_of(similarity.near_by_prefixes(whole, 0.5, per_task=300, at_once=3))
+    assert len(found) == len(set(found)) and want <= set(found)
+    assert stored.count(["a", "b"]) > 2  # before: one shuffle of every set and sketch to every task
+    assert set(found) == set(rows_of(similarity.near_by_prefixes(whole, 0.5)))
+
+
 def test_neighbour_ranks_drop_the_nearest_and_break_ties(spark):
     rows = [(1, 1, n, s, 0.0) for n, s in [(5, 0.9), (4, 0.9), (3, 0.5), (2, -0.1), (9, 0.0), (8, 0.0), (7, 0.0), (6, 0.4)]] + [(2, 1, 3, 0.7, 0.0)]
     found = neighbours.nearest(spark.createDataFrame(rows, "user long, item long, neighbour long, sim double, c double"))
